@@ -21,8 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, column
@@ -114,10 +113,7 @@ _tokenizers: dict = {}
 
 class Tokenizer:
     """The byte-level BPE of byte_bpe_50k: ids as of `tokenizers` with special
-    tokens off, by the ranks of the same vocabulary. No token crosses a space
-    that stands between two non-spaces, so such chunks are looked up first."""
-
-    _odd = regex.compile(r"  |^ | $|[^\S ] | [^\S ]")
+    tokens off, by the ranks of the same vocabulary."""
 
     def __init__(self, path: str | None):
         import public_tokenizers as P
@@ -125,8 +121,7 @@ class Tokenizer:
 
         with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.ids = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
     def get(cls, path: str | None) -> "Tokenizer":
@@ -134,23 +129,6 @@ class Tokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def ids(self, text: str) -> list[int]:
-        if self._odd.search(text):
-            return self.bpe.encode_ordinary(text)
-        known, encode, out = self.known, self.bpe.encode_ordinary, []
-        first, *rest = text.split(" ")
-        out += encode(first)
-        for w in rest:
-            x = known.get(w)
-            if x is None:
-                x = encode(" " + w)
-                if len(w) < 40:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[w] = x
-            out += x
-        return out
-
 
 def _emit(bins: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
     rows = []
