@@ -5,7 +5,8 @@ paths are all the segmentations. A forward recursion in log space sums them, so
 a word's probability is marginal over its segmentations, and a text's is the
 product of its words' and of one end. The vocabulary's scores are ranks, so
 they start as -log rank and are set to the corpus once: expected counts of the
-pieces (forward-backward over all training words, weighted by their counts).
+pieces (forward-backward over all training words, weighted by their counts). A
+whole word that was learned is one more arc over its part of the lattice.
 
 A word's score doesn't depend on the text it stands in. Words are counted over
 the corpus, scored once each, and joined back: the head of the distribution (at
@@ -19,6 +20,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,17 +28,36 @@ from pyspark.sql import functions as F
 from .common import bytes_of, column, crc_mod_col, discard, materialize, words
 
 HEAD = 100_000
-_END = "</text>"
+END = b"</text>"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
-    """Pieces by their bytes with log10 probabilities; any byte is a piece."""
+    """Pieces by their bytes with natural log probabilities; any byte is a
+    piece. Words of one length are worked on together: a piece is found by a
+    rolling hash of its bytes, the recursions run over places of the words."""
 
     def __init__(self, score: dict[bytes, float]):
-        self.score, self.most = score, max(map(len, score))
+        self.pieces = sorted(score)
+        self.score = score
+        self.most = max(map(len, self.pieces))
+        self.values = np.array([score[p] for p in self.pieces])
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(p) for p in self.pieces}):
+            own = [(i, p) for i, p in enumerate(self.pieces) if len(p) == n]
+            h = np.zeros(len(own), np.uint64)
+            m = np.frombuffer(b"".join(p for _, p in own), np.uint8).reshape(len(own), n)
+            for k in range(n):
+                h = h * _BASE + m[:, k] + np.uint64(1)
+            order = np.argsort(h)
+            likely = np.zeros(1 << 16, bool)
+            likely[h >> np.uint64(48)] = True
+            self.by_length[n] = h[order], np.array([i for i, _ in own])[order], likely
 
     @classmethod
     def of_file(cls, path: str | None) -> "Lattice":
+        """Of a sentencepiece file. Its scores are ranks of merges: a piece of
+        rank r gets a weight of 1/(r + 100), as in Zipf's and Mandelbrot's law."""
         import public_tokenizers as P
         import sentencepiece
 
@@ -48,56 +69,81 @@ class Lattice:
             if m.is_byte(i):
                 b = bytes([int(m.id_to_piece(i)[3:5], 16)])
             else:
-                b = m.id_to_piece(i).replace("▁", " ").encode().lower()
-            rank = 1 + max(0.0, -m.get_score(i))
-            raw[b] = raw.get(b, 0.0) + 1.0 / (rank + 100.0)
+                b = m.id_to_piece(i).replace("\u2581", " ").encode().lower()
+            raw[b] = raw.get(b, 0.0) + 1.0 / (101.0 + max(0.0, -m.get_score(i)))
         for i in range(256):
             raw.setdefault(bytes([i]), 1.0 / 50_000)
-        raw[_END.encode()] = max(raw.values())
+        raw[END] = max(raw.values())
         total = sum(raw.values())
-        return cls({b: math.log10(v / total) for b, v in raw.items()})
-
-    def edges(self, text: bytes) -> list[list[tuple[int, float, bytes]]]:
-        """For each place, the pieces that end there."""
-        out = [[] for _ in range(len(text) + 1)]
-        for i in range(len(text)):
-            for j in range(i + 1, min(i + self.most, len(text)) + 1):
-                s = self.score.get(text[i:j])
-                if s is not None:
-                    out[j].append((i, s, text[i:j]))
-        return out
+        return cls({b: math.log(v / total) for b, v in raw.items()})
 
-    @staticmethod
-    def add(x: list[float]) -> float:
-        """log10 of the sum."""
-        top = max(x)
-        return top if len(x) == 1 else top + math.log10(sum(10.0 ** (v - top) for v in x))
-
-    def word(self, w: bytes) -> float:
-        """Marginal log10 probability of a word, its space ahead of it."""
-        text, score, most = b" " + w, self.score, self.most
-        forward = [0.0] * (len(text) + 1)
-        for j in range(1, len(text) + 1):
-            x = [forward[i] + s for i in range(max(0, j - most), j) if (s := score.get(text[i:j])) is not None]
-            top = max(x)
-            forward[j] = top if len(x) == 1 else top + math.log10(sum(10.0 ** (v - top) for v in x))
-        return forward[-1]
-
-    def expected(self, w: bytes) -> dict[bytes, float]:
-        """Expected number of times that each piece stands in the word."""
-        text = b" " + w
-        ends = self.edges(text)
-        forward, backward = [0.0] + [-math.inf] * len(text), [[] for _ in text] + [[0.0]]
-        for j in range(1, len(text) + 1):
-            forward[j] = self.add([forward[i] + s for i, s, _ in ends[j]])
-        out: dict[bytes, float] = {}
-        for j in range(len(text), 0, -1):
-            if not backward[j]:
+    def _find(self, m: np.ndarray) -> np.ndarray:
+        """Of words of one length (a row of bytes each): the index of the piece
+        of k + 1 bytes at each place, or -1."""
+        rows, n = m.shape
+        out = np.full((rows, min(self.most, n), n), -1, np.int64)
+        h = np.zeros((rows, n), np.uint64)
+        for k in range(out.shape[1]):
+            h = h[:, : n - k] * _BASE + m[:, k:] + np.uint64(1)
+            if k + 1 not in self.by_length:
                 continue
-            b = self.add(backward[j])
-            for i, s, piece in ends[j]:
-                backward[i].append(s + b)
-                out[piece] = out.get(piece, 0.0) + 10.0 ** (forward[i] + s + b - forward[-1])
+            known, index, likely = self.by_length[k + 1]
+            r, c = np.nonzero(likely[h >> np.uint64(48)])
+            x = h[r, c]
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            hit = known[at] == x
+            out[r[hit], k, c[hit]] = index[at[hit]]
+        return out
+
+    def _forward(self, s: np.ndarray) -> np.ndarray:
+        rows, most, n = s.shape
+        f = np.zeros((rows, n + 1))
+        for j in range(1, n + 1):
+            k = np.arange(min(most, j))
+            x = f[:, j - 1 - k] + s[:, k, j - 1 - k]
+            top = x.max(axis=1)
+            f[:, j] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        return f
+
+    def _backward(self, s: np.ndarray) -> np.ndarray:
+        rows, most, n = s.shape
+        b = np.zeros((rows, n + 1))
+        for i in range(n - 1, -1, -1):
+            k = np.arange(min(most, n - i))
+            x = b[:, i + 1 + k] + s[:, k, i]
+            top = x.max(axis=1)
+            b[:, i] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        return b
+
+    def _groups(self, words_: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in the list, pieces and scores of words of one length, a space
+        ahead of each; so many at once that the arrays stay small."""
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words_):
+            by.setdefault(len(w), []).append(i)
+        for n, at in sorted(by.items()):
+            step = max(1, 400_000 // ((n + 1) * min(self.most, n + 1)))
+            for a in range(0, len(at), step):
+                own = at[a : a + step]
+                m = np.frombuffer(b"".join(b" " + words_[i] for i in own), np.uint8).reshape(len(own), n + 1).astype(np.uint64)
+                piece = self._find(m)
+                yield np.array(own), piece, np.where(piece >= 0, self.values[piece], -np.inf)
+
+    def log_probabilities(self, words_: list[bytes]) -> np.ndarray:
+        """Marginal log10 probability of each word over its segmentations."""
+        out = np.zeros(len(words_))
+        for own, _, s in self._groups(words_):
+            out[own] = self._forward(s)[:, -1] / math.log(10)
+        return out
+
+    def expected(self, words_: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Expected number of times that each piece is used."""
+        out = np.zeros(len(self.pieces))
+        for own, piece, s in self._groups(words_):
+            f, b = self._forward(s), self._backward(s)
+            r, k, i = np.nonzero(piece >= 0)
+            p = np.exp(f[r, i] + s[r, k, i] + b[r, i + k + 1] - f[r, -1]) * counts[own][r]
+            out += np.bincount(piece[r, k, i], weights=p, minlength=len(out))
         return out
 
 
@@ -114,21 +160,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, float] = {}
+        total = np.zeros(len(lattice.pieces))
         for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                for piece, x in lattice.expected(w).items():
-                    total[piece] = total.get(piece, 0.0) + c * x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.float64())], names=["piece", "x"])
+            total += lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([lattice.pieces[i] for i in used], pa.binary()), pa.array(total[used])], names=["piece", "x"])
 
     return run
 
 
-def _word_scores(lattice: Lattice):
+def mixture(c: np.ndarray, lattice: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of (c + v * 10^lattice) / (n + v): the whole word is one more arc
+    of the lattice, its weight as of Witten and Bell."""
+    with np.errstate(divide="ignore"):
+        own = np.log10(c.astype(np.float64))
+    back = math.log10(max(v, 1)) + lattice
+    top = np.maximum(own, back)
+    return top + np.log10(10.0 ** (own - top) + 10.0 ** (back - top)) - math.log10(n + max(v, 1))
+
+
+def _word_scores(lattice: Lattice, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = pa.array([lattice.word(w) for w in batch.column("word").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), s], names=["word", "c", "total", "score"])
+            x = lattice.log_probabilities(batch.column("word").to_pylist())
+            s = mixture(batch.column("c").to_numpy(), x, n, v)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), pa.array(s)], names=["word", "c", "total", "score"])
 
     return run
 
@@ -185,12 +241,12 @@ def score(docs: DataFrame, vocabulary: str | None = None, head: int = HEAD) -> D
     start = Lattice.of_file(vocabulary)
     found = table.filter("c > 0").select("word", "c").mapInArrow(_expect(start), "piece binary, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
     x = {bytes(r.piece): r.x for r in found}
-    x[_END.encode()] = float(texts)
+    x[END] = float(texts)
     total = sum(x.values())
-    prior = 10_000.0 if total > 10_000 else max(total, 1.0)
-    lattice = Lattice({b: math.log10((x.get(b, 0.0) + prior * 10.0**s) / (total + prior)) for b, s in start.score.items()})
-    end = lattice.score[_END.encode()]
-    scored = materialize(table.mapInArrow(_word_scores(lattice), "word binary, c long, total long, score double"), "op5-scores")
+    prior = min(10_000.0, max(total, 1.0))
+    lattice = Lattice({b: math.log((x.get(b, 0.0) + prior * math.exp(s)) / (total + prior)) for b, s in start.score.items()})
+    end = float(mixture(np.array([texts]), np.array([lattice.score[END] / math.log(10)]), n, v)[0])
+    scored = materialize(table.mapInArrow(_word_scores(lattice, n, v), "word binary, c long, total long, score double"), "op5-scores")
     discard(table)
     top = scored.orderBy(F.desc("total"), "word").limit(head).collect()
     known = spark.sparkContext.broadcast({bytes(r.word): (r.c, r.score) for r in top})

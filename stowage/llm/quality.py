@@ -24,6 +24,8 @@ from .common import column, crc_mod_col, documents
 
 DIM = 1 << 18
 RESERVED = 256
+#: Standard errors by which a feature's shares in the two classes must differ.
+BEYOND_CHANCE = 4.0
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -56,17 +58,24 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.n
     return np.unique(np.array([_hashed(x.encode()) for x in named], np.int64))
 
 
-def train(views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, l2: float = 2e-4) -> np.ndarray:
+def train(views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 10, l2: float = 5e-4) -> np.ndarray:
     """Logistic regression on present features by AdaGrad, in a fixed order,
     both classes weighing the same; the last weight is the bias."""
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-2)
+    # only features whose presence differs between the classes beyond chance
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    c1, c0 = (np.bincount(np.concatenate([*(v for v, label in zip(views, y) if label == side), np.zeros(0, np.int64)]), minlength=DIM) for side in (1, 0))
+    p = (c1 + c0 + 1) / (n1 + n0 + 2)
+    z = np.abs(c1 / max(1, n1) - c0 / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
+    telling = (z >= BEYOND_CHANCE) & (c1 + c0 >= 4)
+    views = [np.append(v[telling[v]], DIM) for v in views]
     pos = weight[y == 1].sum() or 1.0
     neg = weight[y == 0].sum() or 1.0
     scale = np.where(y == 1, (pos + neg) / (2 * pos), (pos + neg) / (2 * neg)) * weight
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            f = np.append(views[i], DIM)
+            f = views[i]
             p = 1 / (1 + np.exp(-np.clip(w[f].sum(), -30, 30)))
             g = (p - y[i]) * scale[i] + l2 * w[f]
             g2[f] += g * g
@@ -79,20 +88,32 @@ def logit_of(w: np.ndarray, views: list[np.ndarray]) -> np.ndarray:
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Platt's sigmoid over one or more scores: coefficients and a constant, by
-    Newton's method with a small ridge and smoothed labels."""
-    x = np.column_stack([*np.atleast_2d(z), np.ones(len(y))])
+    """Platt's sigmoid over one or more scores: coefficients and a constant. The
+    scores are taken in units of their spread, labels are smoothed as Platt
+    does, and a ridge draws the slopes to 1, so that a small or separable set
+    gives no certainty; Newton's method with halved steps."""
+    z = np.atleast_2d(z)
+    unit = np.maximum(np.sqrt((z * z).mean(axis=1)), 1e-6)
+    x = np.column_stack([*(z / unit[:, None]), np.ones(len(y))])
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    c = np.zeros(x.shape[1])
-    c[:-1] = 0.5
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(c)), x.T @ (p - t) + 1e-2 * np.append(c[:-1] - 0.5, 0))
-        c -= step
-        if np.abs(step).max() < 1e-6:
+    want, ridge = np.append(np.ones(len(unit)), 0.0), np.append(np.ones(len(unit)), 1e-3)
+
+    def loss(c: np.ndarray) -> float:
+        m = x @ c
+        return float((np.logaddexp(0, m) - t * m).sum() + (ridge * (c - want) ** 2).sum() / 2)
+
+    c = want.copy()
+    for _ in range(60):
+        p = sigmoid(x @ c)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (p - t) + ridge * (c - want))
+        size = 1.0
+        while size > 1e-6 and loss(c - size * step) > loss(c):
+            size /= 2
+        c = c - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return c
+    return np.append(c[:-1] / unit, c[-1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
