@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, column, crc_mod_col
 
-DIM = 1 << 14
+DIM = 1 << 13
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -35,11 +35,11 @@ def features(raw: bytes) -> np.ndarray | None:
     if not text.strip():
         return None
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    out = np.bincount((b * np.uint32(2654435761)) >> np.uint32(18), minlength=DIM).astype(np.float64)
+    out = np.bincount((b * np.uint32(2654435761)) >> np.uint32(19), minlength=DIM).astype(np.float32)
     h = b
     for _ in range(3):
         h = h[:-1] * np.uint32(0x01000193) ^ b[-len(h) + 1 :] if len(h) > 1 else h[:0]
-        out += np.bincount((h * np.uint32(2654435761)) >> np.uint32(18), minlength=DIM)
+        out += np.bincount((h * np.uint32(2654435761)) >> np.uint32(19), minlength=DIM)
     out = np.sqrt(out)
     return out / np.linalg.norm(out)
 
@@ -48,24 +48,25 @@ def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, c: float = 20.0) -
     """Weights (the last is the bias) of a linear support vector machine with
     squared hinge loss, classes weighing the same; y is -1 or 1. Dual
     coordinate descent (Hsieh et al. 2008), in a fixed order."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     diag = 1.0 / (2 * c * weight)
-    q = (x * x).sum(axis=1) + diag
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
+    q = 2.0 + diag  # every row has length 1, and a one for the bias
+    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(y))
     order = np.random.default_rng(7).permutation(len(y))
     for _ in range(rounds):
         moved = 0.0
         for i in order:
-            g = y[i] * (x[i] @ w) - 1 + diag[i] * alpha[i]
+            g = y[i] * (float(x[i] @ w) + bias) - 1 + diag[i] * alpha[i]
             new = max(alpha[i] - g / q[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
@@ -112,7 +113,7 @@ def fit(rows: list[tuple[bytes, str]], link: float = 0.5) -> Model:
     langs = sorted({lang for _, lang in seen})
     if not langs:
         return Model([["und"]], np.zeros((1, DIM + 1)), [{}])
-    x = np.array([v for v, _ in seen], np.float64)
+    x = np.array([v for v, _ in seen], np.float32)
     y = np.array([langs.index(lang) for _, lang in seen])
     profiles = np.array([x[y == i].mean(axis=0) for i in range(len(langs))])
     profiles -= profiles.mean(axis=0)
