@@ -1,4 +1,6 @@
 """Registered archive queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stowage.plans import selection_queries  # noqa: F401
+from stowage.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
