@@ -255,7 +255,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     raw = keyed.select("k", bytes_of().alias("raw"))
     parse = raw.filter(F.length("raw") >= length).mapInArrow(_phrase_rows(length), "mid long, phrase long, k long, place long")
     # 1. phrases whose middle occurs once share no window with another
-    again = parse.groupBy("mid").agg(F.count("*").alias("c")).filter("c > 1").select("mid")
+    # (written first: a join of two plain shuffles can split a hot middle's rows)
+    again = materialize(parse.groupBy("mid").agg(F.count("*").alias("c")).filter("c > 1").select("mid"), "op1-middles")
     parse = materialize(parse.join(again, "mid", "left_semi"), "op1-parse")
     # 2. the dictionary: distinct phrases, how often, and one place each
     book = materialize(parse.groupBy("mid", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("k", "place")).alias("at")), "op1-book")
