@@ -123,7 +123,7 @@ def test_formats(spark):
 
 
 def test_blocks(spark):
-    rows = [([0] * 64, 0), ([1] + [0] * 63, 1), ([7] * 64, 2), ([-31] * 64, 3), ([100] * 64, 4)]
+    rows = [([0] * 384, 0), ([1] + [0] * 383, 1), ([7] * 384, 2), ([-31] * 384, 3), ([100] * 384, 4)]
     t = spark.createDataFrame(rows, "a array<int>, want int")
     assert t.filter(kernels.block_category(F.col("a")) != F.col("want")).collect() == []
 
