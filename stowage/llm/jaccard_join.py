@@ -15,14 +15,13 @@ distinct sets.
   walk over pairs that the bound lets through emits a spanning forest, never all
   pairs of a tile.
 * Each emitted pair is decided by intersecting the sorted arrays. Links join
-  components; refused pairs are remembered, and tiles that had any are walked
-  again until no tile has an undecided pair between two components. So no link
-  between different sets is lost, whatever the order.
+  components; refused pairs are remembered, and tiles that had any are looked
+  at again, with more partners a set each time, until no tile has an undecided
+  pair between two components. So no link between different sets is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,16 +146,40 @@ def _tiles(n: int, num: int, den: int):
     return run
 
 
-def walk(members: list[tuple], bands: Bands) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a tile that the bound lets through and
-    nobody refused; free within what is one component already.
-    members: (sid, n, bits, label, refused)."""
+def _passing(i: int, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, bands: Bands) -> np.ndarray:
+    """Upper bounds of the overlap of i with the rest, -1 where it can't do."""
+    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    both = np.minimum((size[rest] + size[i] - differ) // 2, np.minimum(size[rest], size[i]))
+    return np.where(bands.den * both >= bands.num * (size[rest] + size[i] - both), both, -1)
+
+
+def walk(members: list[tuple], bands: Bands, partners: int = 0) -> list[tuple[int, int]]:
+    """Undecided pairs of a tile that the bound lets through, between what isn't
+    one component yet; none only if there are none. members: (sid, n, bits,
+    label, refused).
+
+    With partners = 0 a breadth-first spanning forest of them. Else, of each
+    member outside the largest component, the pairs with up to `partners`
+    others, those with the largest bounds: what a refusal leaves is few, and is
+    done in a few rounds.
+    """
     g = len(members)
     bits = np.frombuffer(b"".join(x[2] for x in members), np.uint64).reshape(g, BITS // 64)
     size = np.array([x[1] for x in members], np.int64)
     sid = np.array([x[0] for x in members], np.int64)
     label = np.array([x[3] for x in members], np.int64)
-    left, pairs = np.ones(g, bool), []
+    pairs: list[tuple[int, int]] = []
+    if partners:
+        values, counts = np.unique(label, return_counts=True)
+        for i in np.flatnonzero(label != values[counts.argmax()]).tolist():
+            rest = np.flatnonzero(label != label[i])
+            if members[i][4]:
+                rest = rest[~np.isin(sid[rest], members[i][4])]
+            both = _passing(i, rest, bits, size, bands)
+            best = np.argsort(-both, kind="stable")[:partners]
+            pairs += [(int(sid[i]), int(sid[j])) for j in rest[best[both[best] >= 0]].tolist()]
+        return pairs
+    left = np.ones(g, bool)
     for root in range(g):
         if not left[root]:
             continue
@@ -167,21 +190,14 @@ def walk(members: list[tuple], bands: Bands) -> list[tuple[int, int]]:
             rest = np.flatnonzero(left)
             if not len(rest):
                 return pairs
-            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            both = np.minimum((size[rest] + size[i] - differ) // 2, np.minimum(size[rest], size[i]))
-            ok = bands.den * both >= bands.num * (size[rest] + size[i] - both)
-            if members[i][4]:
-                ok &= ~np.isin(sid[rest], members[i][4])
-            same = label[rest] == label[i]
-            for j in rest[ok & ~same].tolist():
-                pairs.append((int(sid[i]), int(sid[j])))
-            reached = rest[ok | same]
+            reached = rest[_passing(i, rest, bits, size, bands) >= 0]
+            pairs += [(int(sid[i]), int(sid[j])) for j in reached.tolist()]
             left[reached] = False
             queue.extend(reached.tolist())
     return pairs
 
 
-def _walks(num: int, den: int):
+def _walks(num: int, den: int, partners: int):
     """Rows come sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +206,7 @@ def _walks(num: int, den: int):
         def done() -> list[tuple[int, int, int]]:
             if len(members) < 2 or len({m[3] for m in members.values()}) < 2:
                 return []
-            return [(tile, min(p), max(p)) for p in walk(list(members.values()), bands)]
+            return [(tile, min(p), max(p)) for p in walk(list(members.values()), bands, partners)]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             c = list(zip(*rows)) or [()] * 3
@@ -252,55 +268,72 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     raw = docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).select("doc_id", bytes_of().alias("raw"))
     rows = materialize(raw.mapInArrow(_sets(n), "doc_id long, sid long, n long, bits binary"), "op3-sets")
     sets = rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
-    tiles = raw.mapInArrow(_tiles(n, num, den), "tile long, sid long")
-    shared = materialize(_shared(tiles), "op3-tiles")
-    members = materialize(shared.join(sets, "sid").select("tile", "sid", "n", "bits"), "op3-members")
-    discard(shared)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = refused = None
-    links: list[DataFrame] = []
+    tiles = raw.mapInArrow(_tiles(n, num, den), "tile long, sid long").repartition(parts, "tile").sortWithinPartitions("tile", "sid")
+    shared = materialize(tiles.mapInArrow(_shared, "tile long, sid long"), "op3-tiles")
+    now = shared.join(sets, "sid").select("tile", "sid", "n", "bits").withColumn("label", F.col("sid")).withColumn("refused", F.lit(None).cast("array<long>"))
+    partners, arrays, links, refusals, members = 0, None, [], [], None
     while True:
-        now = members
-        if labels is not None:
-            now = now.join(labels.withColumnRenamed("id", "sid"), "sid", "left").join(refused, "sid", "left")
-        else:
-            now = now.withColumn("label", F.lit(None).cast("long")).withColumn("refused", F.lit(None).cast("array<long>"))
-        now = now.select("tile", "sid", "n", "bits", F.coalesce("label", "sid").alias("label"), "refused")
-        found = materialize(now.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_walks(num, den), "tile long, a long, b long"), "op3-pairs")
+        found = materialize(now.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_walks(num, den, partners), "tile long, a long, b long"), "op3-pairs")
         pairs = found.select("a", "b").distinct()
-        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        # only texts that stand for a set on a pair are read into arrays
-        wanted = sets.join(ends, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        arrays = raw.join(wanted, raw.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("raw").mapInArrow(_arrays(n), "sid long, arr binary")
-        arrays = arrays.join(ends, "sid", "left_semi").groupBy("sid").agg(F.first("arr").alias("arr"))
+        if arrays is None:
+            # the first walk reaches every set that has a partner at all: only their texts are read into arrays, once
+            ends = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "op3-ends")
+            wanted = sets.join(ends, "sid").select("rep", "sid")
+            texts = raw.join(wanted, raw.doc_id.eqNullSafe(wanted.rep)).select("raw", "sid")
+            arrays = materialize(texts.mapInArrow(_arrays(n), "sid long, arr binary").groupBy("sid").agg(F.first("arr").alias("arr")), "op3-arrays")
         both = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
         decided = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide(num, den), "a long, b long, linked boolean"), "op3-decided")
         links.append(decided.filter("linked").select("a", "b"))
         no = decided.filter("not linked").select("a", "b")
         again = materialize(found.join(no, ["a", "b"], "left_semi").select("tile").distinct(), "op3-again")
         discard(found)
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.union(x)
-        labels = materialize(components(edges), "op3-labels")
+        labels = materialize(components(_all(links)), "op3-labels")
         if again.isEmpty():
             break
-        flat = no.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(no.select(F.col("b").alias("sid"), F.col("a").alias("other")))
-        if refused is not None:
-            flat = flat.union(refused.select("sid", F.explode("refused").alias("other")))
-        refused = materialize(flat.groupBy("sid").agg(F.collect_set("other").alias("refused")), "op3-refused")
+        refusals.append(no.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(no.select(F.col("b").alias("sid"), F.col("a").alias("other"))))
+        refused = _all(refusals).groupBy("sid").agg(F.collect_set("other").alias("refused"))
+        if members is None:
+            members = shared.join(ends, "sid", "left_semi").join(sets, "sid").select("tile", "sid", "n", "bits")
         members = materialize(members.join(again, "tile", "left_semi"), "op3-members")
+        now = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").join(refused, "sid", "left")
+        now = now.select("tile", "sid", "n", "bits", F.coalesce("label", "sid").alias("label"), "refused")
+        partners = 4 if not partners else partners * 4
     grouped = rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _shared(tiles: DataFrame) -> DataFrame:
-    """Rows of tiles that several sets share. Counted before they are joined, so
-    no tile is gathered."""
-    several = tiles.groupBy("tile").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y").select("tile")
-    return tiles.join(several, "tile", "left_semi").distinct()
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles that several sets share; rows come sorted by tile and set."""
+    held = np.zeros((2, 0), np.int64)
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        if rows.shape[1]:
+            fresh = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
+            rows = rows[:, fresh]
+            edge = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+            rows = rows[:, np.repeat(np.diff(np.append(edge, rows.shape[1])) > 1, np.diff(np.append(edge, rows.shape[1])))]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["tile", "sid"])
+
+    for batch in batches:
+        rows = np.hstack([held, np.array([batch.column(0).to_numpy(), batch.column(1).to_numpy()])])
+        if not rows.shape[1]:
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last tile may go on
+        yield out(rows[:, :cut])
+        held = rows[:, cut:]
+        if held.shape[1] > 1:  # of one tile: copies of a set are one row
+            held = held[:, np.concatenate(([True], held[1, 1:] != held[1, :-1]))]
+    yield out(held)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
