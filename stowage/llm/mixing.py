@@ -1,6 +1,6 @@
 """Operator 6: mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 64-bit hash. A source takes all its words a whole
+Every document has a fixed 60-bit hash. A source takes all its words a whole
 number of times, and of the documents with hashes below a threshold once more.
 The threshold is found by histograms: words summed by source and the hash's
 first 12 bits give the bucket in which the budget is reached; only that bucket
@@ -43,7 +43,7 @@ def targets(sizes: list[tuple], share: float = 1.5, most: float = 2.0, weights:
 
 
 def _digit(level: int) -> Column:
-    return F.shiftrightunsigned("h", 64 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1)
+    return F.shiftright("h", BITS * (LEVELS - 1 - level)).bitwiseAND((1 << BITS) - 1)
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -59,7 +59,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
     """
     spark = docs.sparkSession
     docs = documents(docs)
-    measured = docs.select("*", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("source", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 64)).alias("h"))
+    # 60 bits of a hash that SQL has too
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256))
+    h = F.conv(F.substring(F.md5(name), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    measured = docs.select("*", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), h.alias("h"))
     slim = materialize(measured.select("source", "size", "h"), "op6-sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row per source
     plan = targets(sorted([(r.source, r["size"]) for r in sums], key=lambda x: (x[0] is None, x[0] or "")), share, most, weights)
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
         at = F.broadcast(spark.createDataFrame(open_, kinds))
         rows = slim.join(at.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         if level:
-            rows = rows.filter(F.shiftrightunsigned("h", 64 - BITS * level) == F.col("prefix"))
+            rows = rows.filter(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
         histogram = rows.groupBy("source", _digit(level).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("c"))
         running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
         goal = F.broadcast(spark.createDataFrame([(s, float(need[s][3])) for s, _ in open_], "s string, goal double"))
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
     parts = [(s, n, float(target), rounds, int(prefix)) for s, (n, target, rounds, _, prefix) in need.items()]
     chosen = F.broadcast(spark.createDataFrame(parts, "s string, source_size long, target double, rounds long, below long"))
     out = measured.join(chosen, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("rounds") + F.when(F.shiftrightunsigned("h", 64 - BITS * LEVELS) < F.col("below"), 1).otherwise(0)
+    copies = F.col("rounds") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(int(-(-most // 1)))))
     return out.select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
