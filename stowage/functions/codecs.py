@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import containers
+
 MIB = 1 << 20
 
 
@@ -53,18 +55,27 @@ def _unzip(raw: bytes) -> bytes:
         return z.read("member")
 
 
-_X86 = [{"id": lzma.FILTER_X86}, {"id": lzma.FILTER_LZMA2, "preset": 9}]
+def _lzma_filter(raw: bytes, preset: int) -> dict:
+    """The preset with a dictionary no larger than the data: the same matches
+    without setting up tens of megabytes for a small file."""
+    return {"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": min(1 << 26 if preset == 9 else 1 << 23, max(4096, 1 << (len(raw) - 1).bit_length() if raw else 4096))}
+
+
+def _lzma(raw: bytes) -> bytes:
+    return lzma.compress(raw, filters=[_lzma_filter(raw, 6 if len(raw) >= 15 * MIB else 9)])
+
+
 _MAGIC = b"SX86"
 
 
 def _lzma_x86(raw: bytes) -> bytes:
-    return _MAGIC + lzma.compress(raw, lzma.FORMAT_RAW, filters=_X86)
+    return _MAGIC + lzma.compress(raw, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, _lzma_filter(raw, 9)])
 
 
 def _unlzma_x86(raw: bytes) -> bytes:
     if raw[:4] != _MAGIC:
         raise ValueError("not an lzma_x86 member")
-    return lzma.decompress(raw[4:], lzma.FORMAT_RAW, filters=_X86)
+    return lzma.decompress(raw[4:], lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_X86}, {"id": lzma.FILTER_LZMA2, "dict_size": 1 << 26}])
 
 
 def _sorted_lines(raw: bytes) -> bytes:
@@ -95,8 +106,9 @@ def canonical_json(text: str | None) -> str | None:
 
 register(Codec("baseline_zip", _zip, _unzip))
 register(Codec("generic_zlib", lambda b: zlib.compress(b, 9), zlib.decompress))
-register(Codec("generic_lzma", lambda b: lzma.compress(b, preset=6 if len(b) >= 15 * MIB else 9), lzma.decompress))
+register(Codec("generic_lzma", _lzma, lzma.decompress))
 register(Codec("lzma_x86", _lzma_x86, _unlzma_x86))
+register(Codec("png_idat_recompress", containers.png_pack, containers.png_unpack))
 if importlib.util.find_spec("zstandard"):
     import zstandard
 

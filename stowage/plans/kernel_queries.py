@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stowage.functions import codecs
+from stowage.functions import codecs, containers
 from stowage.functions import kernels as N
 from stowage.sources import files as S
 from stowage.sources import sinks
@@ -102,3 +102,40 @@ def q_manifest_round_trip(spark, d):
     docs = sinks.manifest_documents(a, members).select(F.col("id").cast("string").alias("path"), F.col("document").cast("binary").alias("content"))
     back = S.manifests(docs).select(F.col("path").cast("bigint").alias("id"), F.explode("manifest.files").alias("f"))
     return back.groupBy("id").agg(F.count("*").alias("files"), F.sum("f.original_size").alias("original_bytes"), F.max("f.path_in_archive").alias("last_path"))
+
+
+@query("select doc_id, true as restored, true as best_is_least from documents")
+def q_best_codec(spark, d):
+    """The smallest of four codecs for each content, found by one aggregate."""
+    names = ["generic_zlib", "generic_lzma", "generic_zstd", "zstd_long_range_v2"]
+    t = V.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.explode(F.array(*map(F.lit, names))).alias("strategy"))
+    m = codecs.measure(t).groupBy("doc_id").agg(F.min_by(F.struct("stored_bytes", "strategy"), F.struct("stored_bytes", "strategy")).alias("best"), F.min("stored_bytes").alias("least"), F.every("exact_match").alias("restored"))
+    return m.select("doc_id", "restored", (F.col("best.stored_bytes") == F.col("least")).alias("best_is_least"))
+
+
+@query("""select event_id, '{"a":[1,2],"k":' || json_extract_string(props, '$.k') || '}' as canonical from events""")
+def q_canonical_json(spark, d):
+    """Keys sorted, white space gone."""
+    canonical = F.pandas_udf(lambda s: s.map(codecs.canonical_json), "string")
+    text = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(' , "a" : [1, 2] }'))
+    return V.table(spark, d, "events").select("event_id", canonical(text).alias("canonical"))
+
+
+@query("select p_partkey as id, case p_partkey % 5 when 0 then 'OK' when 1 then 'NOT_A_BMP' when 2 then 'VARIANT' when 3 then 'ROW_PADDING' else 'SIZE' end as problem from part")
+def q_bmp_header(spark, d):
+    """Headers of 4 x 2 pixels, most of them wrong in some way."""
+    m = F.col("p_partkey") % 5
+    def head(width: str, bits: str) -> str:
+        return "424D" + "00" * 8 + "36000000" + "28000000" + width + "02000000" + "0100" + bits + "00" * 24
+    good = head("04000000", "1800")
+    text = F.when(m == 0, good + "07" * 24).when(m == 1, "4D42" + good[4:]).when(m == 2, head("04000000", "2000") + "07" * 24).when(m == 3, head("03000000", "1800") + "07" * 24).otherwise(good + "07" * 23)
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), containers.bmp_problem(F.unhex(text)).alias("problem"))
+
+
+@query("select doc_id, doc_id % 3 = 0 as fast from documents")
+def q_mp4_boxes(spark, d):
+    """moov and mdat in either order, or a broken box ahead of them."""
+    box = lambda kind: F.concat(F.unhex(F.lit("00000010")), F.lit(kind).cast("binary"), F.unhex(F.lit("00" * 8)))
+    m = F.col("doc_id") % 3
+    content = F.when(m == 0, F.concat(box("ftyp"), box("moov"), box("mdat"))).when(m == 1, F.concat(box("ftyp"), box("mdat"), box("moov"))).otherwise(F.concat(F.unhex(F.lit("00000004")), F.lit("free").cast("binary"), box("moov")))
+    return V.table(spark, d, "documents").select("doc_id", containers.moov_first(content).alias("fast"))

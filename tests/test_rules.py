@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.functions import codecs, kernels
+from stowage.functions import codecs, containers, kernels
 from stowage.functions import columns as C
 from stowage.functions import constants as K
 from stowage.operators import catalog, integrity, inventory, rollup, selection
@@ -138,3 +138,38 @@ def test_codecs_restore(name, raw):
 def test_measure_reports_errors(spark):
     t = spark.createDataFrame([(1, b"abc", "generic_zlib"), (2, b"abc", "generic_brotli"), (3, b"abc", "nobody"), (4, None, "generic_zlib")], "id int, content binary, strategy string")
     assert [r.status for r in codecs.measure(t).orderBy("id").collect()] == ["PASS", "SKIPPED_UNAVAILABLE", "SKIPPED_UNAVAILABLE", "ERROR"]
+
+
+def _png(level, cuts, broken=False):
+    import struct
+    import zlib
+
+    lines = b"".join(b"\0" + bytes((x * y) % 251 for x in range(60)) for y in range(40))
+    stream = zlib.compress(lines, level)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b) ^ (broken and k == b"IDAT"))
+    size = -(-len(stream) // cuts)
+    idat = [chunk(b"IDAT", stream[i : i + size]) for i in range(0, len(stream), size)]
+    return containers.PNG_MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", 60, 40, 8, 0, 0, 0, 0)) + b"".join(idat) + chunk(b"tEXt", b"a\0b") + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("level", [1, 6, 9])
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_png_is_rebuilt(level, cuts):
+    raw = _png(level, cuts)
+    packed = containers.png_pack(raw)
+    assert packed[0] == 1 and len(packed) < len(raw) and containers.png_unpack(packed) == raw
+
+
+@pytest.mark.parametrize("raw", [_png(6, 2, broken=True), _png(6, 1)[:-3], _png(6, 1) + b"tail", b"", containers.PNG_MAGIC])
+def test_odd_pngs_are_stored(raw):
+    packed = containers.png_pack(raw)
+    assert packed[0] == 0 and containers.png_unpack(packed) == raw
+
+
+def test_boxes():
+    import struct
+
+    wide = struct.pack(">I4sQ", 1, b"wide", 24) + b"x" * 8
+    assert [k for k, _, _ in containers.boxes(wide + struct.pack(">I4s", 8, b"moov"))] == [b"wide", b"moov"]
+    assert containers.starts_fast(wide + struct.pack(">I4s", 8, b"moov"))
+    assert not containers.starts_fast(struct.pack(">I4s", 1, b"wide")) and not containers.starts_fast(None)
