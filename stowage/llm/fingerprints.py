@@ -90,10 +90,8 @@ def with_neighbours(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) ->
     # a row per range: its first document
     heads = rows.join(F.broadcast(tops), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order))).filter("r = 1").select("part", "text")
-    last = heads.agg(F.max("part").alias("m"))
-    before = Window.orderBy("part")  # over as many rows as there are ranges
-    stand_in = heads.withColumn("for", F.lag("part").over(before)).crossJoin(F.broadcast(last))
-    stand_in = stand_in.select(F.coalesce("for", "m").cast("int").alias("part"), "text")
+    # over as many rows as there are ranges; the first range's head follows the last range
+    stand_in = heads.select(F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).cast("int").alias("part"), "text")
     all_rows = rows.select("part", "doc_id", "text", F.lit(0).alias("virtual")).unionByName(stand_in.select("part", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("virtual")))
     all_rows = all_rows.withColumn("sketch", sketch(F.col("text"), width, scale))
     w = Window.partitionBy("part").orderBy("virtual", *order)
