@@ -44,7 +44,7 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
-    """node, dim, vec, ids: distinct vectors with the `keep` smallest of their
+    """node, dim, vec, ids, u: distinct vectors with the `keep` smallest of their
     ids, found without gathering a vector's copies: ranks are cut by a window
     after a first cut within hashed parts."""
     rows = vectors.select(column(vectors, "vec_id", "bigint"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack_vectors, "vec_id long, vec binary")
@@ -53,7 +53,8 @@ def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
     two = Window.partitionBy("vec").orderBy("vec_id")
     few = rows.withColumn("r", F.row_number().over(one)).filter(F.col("r") <= keep)
     few = few.withColumn("r", F.row_number().over(two)).filter(F.col("r") <= keep)
-    return few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), (F.length("vec") / 8).cast("int").alias("dim"), "vec", "ids")
+    out = few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), (F.length("vec") / 8).cast("int").alias("dim"), "vec", "ids")
+    return out.mapInArrow(_add_units, "node long, dim int, vec binary, ids array<long>, u binary")
 
 
 def _assign(pivots: dict[int, np.ndarray], lists: int):
@@ -63,17 +64,17 @@ def _assign(pivots: dict[int, np.ndarray], lists: int):
         for batch in batches:
             cells, nodes, vecs = [], [], []
             dims = np.array(batch.column("dim").to_pylist())
-            raw, ids = batch.column("vec").to_pylist(), batch.column("node").to_pylist()
+            raw, ids = batch.column("u").to_pylist(), batch.column("node").to_pylist()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                sims = _unit([raw[i] for i in at]) @ pivots[dim].T if dim in pivots else np.zeros((len(at), 1), np.float32)
+                sims = _stack([raw[i] for i in at]) @ pivots[dim].T if dim in pivots else np.zeros((len(at), 1), np.float32)
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :lists]
                 for i, row in zip(at.tolist(), top.tolist()):
                     for c in row:
                         cells.append(dim * 1_000_000 + c)
                         nodes.append(ids[i])
                         vecs.append(raw[i])
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vecs, pa.binary())], names=["cell", "node", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vecs, pa.binary())], names=["cell", "node", "u"])
 
     return run
 
@@ -85,6 +86,19 @@ def _top_pairs(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(sims, top, 1).ravel()
 
 
+def _add_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vector of length 1 in single precision, which graph and search use."""
+    for batch in batches:
+        u = []
+        for x in batch.column("vec"):
+            u.append(_unit([x.as_py()])[0].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u, pa.binary())], names=[*batch.schema.names, "u"])
+
+
+def _stack(units: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(units), np.float32).reshape(len(units), -1)
+
+
 def _within_cells(k: int, block: int):
     """Best pairs inside blocks of a cell; rows come sorted by cell and hash, so
     a cell of any size is cut into blocks and never held whole."""
@@ -95,11 +109,11 @@ def _within_cells(k: int, block: int):
         def out():
             if len(ids) < 2:
                 return _edges([], [], [])
-            u = _unit(raw)
+            u = _stack(raw)
             return _edges(*_top_pairs(np.array(ids), u @ u.T, k))
 
         for batch in batches:
-            for c, i, v in zip(*(batch.column(x).to_pylist() for x in ("cell", "node", "vec"))):
+            for c, i, v in zip(*(batch.column(x).to_pylist() for x in ("cell", "node", "u"))):
                 if c != cell or len(ids) >= block:
                     yield out()
                     ids, raw, cell = [], [], c
@@ -115,19 +129,22 @@ def _edges(a, b, s) -> pa.RecordBatch:
 
 
 def _local_joins(k: int):
-    """Rows (node, new pairs wanted): the vectors of a node's neighbours and
-    reverse neighbours; all of them against each other."""
+    """A row per node: its neighbours and reverse neighbours, with their vectors
+    and the similarity of their worst neighbour so far; all of them against each
+    other. Only what improves a node's list goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: list[tuple] = []
             for around in batch.column("around").to_pylist():
-                seen = {x["id"]: x["vec"] for x in around}
+                seen = {x["id"]: x for x in around}
                 if len(seen) < 2:
                     continue
                 ids = np.array(list(seen))
-                u = _unit(list(seen.values()))
-                best.append(_top_pairs(ids, u @ u.T, k))
+                u = _stack([x["u"] for x in seen.values()])
+                a, b, s = _top_pairs(ids, u @ u.T, k)
+                better = s > np.repeat(np.array([x["worst"] for x in seen.values()], np.float32), len(a) // len(ids))
+                best.append((a[better], b[better], s[better]))
             if not best:
                 continue
             a, b, s = (np.concatenate(x) for x in zip(*best))
@@ -149,41 +166,56 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
 
 
-def build_graph(nodes: DataFrame, k: int = 16, rounds: int = 3, pivots: int = 64, lists: int = 2, block: int = 512, reverse: int = 16) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 2, per_pivot: int = 200, pivots: int = 1024, lists: int = 4, block: int = 1024, reverse: int = 24) -> DataFrame:
     """(a, b, s): the neighbour graph by NN-descent. Pivots are a bounded sample
-    (`pivots` per dimension, smallest hashes); every vector is indexed. Of a
-    node's reverse neighbours the `reverse` nearest take part in a round."""
+    (one for `per_pivot` nodes, at most `pivots` a dimension, smallest hashes);
+    every vector is indexed. A node is compared with the block of its cell under
+    each of its `lists` nearest pivots; cells over `block` are several blocks. Of
+    a node's reverse neighbours the `reverse` nearest take part in a round."""
     spark = nodes.sparkSession
-    w = Window.partitionBy("dim").orderBy("u", "node")
     total = nodes.count()
-    share = min(1.0, 40.0 * pivots / max(1, total))
-    drawn = nodes.withColumn("u", F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)).filter(F.col("u") <= share)
-    drawn = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pivots).select("dim", "vec").collect()
+    wanted = max(1, min(pivots, total // per_pivot))
+    share = min(1.0, 40.0 * wanted / max(1, total))
+    drawn = nodes.withColumn("h", F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)).filter(F.col("h") <= share)
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "node"))).filter(F.col("r") <= wanted).select("dim", "u").collect()
     by: dict[int, list] = {}
     for r in drawn:
-        by.setdefault(r.dim, []).append(bytes(r.vec))
-    chosen = {d: _unit(v) for d, v in by.items()}
+        by.setdefault(r.dim, []).append(bytes(r.u))
+    chosen = {d: _stack(v) for d, v in by.items()}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select("node", "dim", "vec").mapInArrow(_assign(chosen, lists), "cell long, node long, vec binary")
-    # a cell is dealt out by hash over as many groups as it fills blocks
-    groups = max(1, total * lists // (pivots * block) + 1)
-    cells = cells.withColumn("g", F.pmod(F.xxhash64("node", "cell"), F.lit(groups))).withColumn("cell", F.col("cell") * 1_000_000 + F.col("g")).drop("g")
+    cells = nodes.select("node", "dim", "u").mapInArrow(_assign(chosen, lists), "cell long, node long, u binary")
+    # a cell's nodes are dealt out by hash over as many groups as an average cell fills blocks
+    groups = max(1, -(-total * lists // (wanted * block)))
+    cells = cells.withColumn("cell", F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("node", "cell"), F.lit(groups)))
     first = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(_within_cells(k, 2 * block), _EDGES)
     graph = materialize(_best(first, k), "op2-graph")
-    vectors = nodes.select(F.col("node").alias("id"), "vec")
     for _ in range(rounds):
-        links = graph.select(F.col("a").alias("node"), F.col("b").alias("id"), F.col("s"))
-        back = graph.select(F.col("b").alias("node"), F.col("a").alias("id"), F.col("s"))
-        back = back.withColumn("q", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "id"))).filter(F.col("q") <= reverse).drop("q")
-        around = links.unionByName(back).select("node", "id").union(nodes.select("node", F.col("node").alias("id"))).distinct()
-        around = around.join(vectors, "id").groupBy("node").agg(F.collect_list(F.struct("id", "vec")).alias("around"))
-        found = around.select("around").mapInArrow(_local_joins(k), _EDGES)
+        links = graph.select(F.col("a").alias("node"), F.col("b").alias("id"))
+        back = graph.withColumn("q", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("s"), "a"))).filter(F.col("q") <= reverse).select(F.col("b").alias("node"), F.col("a").alias("id"))
+        around = links.union(back).union(nodes.select("node", F.col("node").alias("id"))).distinct()
+        worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
+        known = nodes.select(F.col("node").alias("id"), "u").join(worst.withColumnRenamed("a", "id"), "id", "left").select("id", "u", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+        met = around.join(known, "id").groupBy("node").agg(F.collect_list(F.struct("id", "u", "worst")).alias("around"))
+        found = met.select("around").mapInArrow(_local_joins(k), _EDGES)
         better = materialize(_best(graph.select("a", "b", "s").unionByName(found), k), "op2-graph")
         discard(graph)
         graph = better
     return graph.select("a", "b", "s")
 
 
+def _likeness(asked):
+    """Similarities of (q, b, u); the block's query vectors are broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = asked.value
+        for batch in batches:
+            q, raw = batch.column("q").to_pylist(), batch.column("u").to_pylist()
+            s = [float(np.frombuffer(x, np.float32) @ known[i]) if len(x) == known[i].nbytes else None for i, x in zip(q, raw)]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("b"), pa.array(s, pa.float32())], names=["q", "b", "s"])
+
+    return run
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         s = []
@@ -200,10 +232,14 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("b"), pa.array(s, pa.float64())], names=["q", "b", "s"])
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 48, open_: int = 12, steps: int = 8, **options) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 320, open_: int = 64, steps: int = 12, block: int = 20_000, **options) -> DataFrame:
     """The k nearest rows of each query (vec_id divisible by `every`) by cosine:
     query_id, rank, vec_id, score.
 
+    A query starts from its own node. A step opens the `open_` best nodes among
+    the `pool` best it has seen that aren't open yet. Queries are taken in
+    blocks of at most about `block`, whose vectors are broadcast.
+
     Rows with null ids, null, empty or zero vectors, null or non-finite
     components take no part; vectors of another length are never near; rows
     that repeat an id and vector count once; extra columns are ignored; with
@@ -211,39 +247,48 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 48, open
     result. Equal scores go by vec_id: a distinct vector carries its k + 1
     smallest ids, more can never be among the k nearest.
     """
+    spark = vectors.sparkSession
     nodes = materialize(nodes_of(vectors, k + 1), "op2-nodes")
-    graph = build_graph(nodes, **options)
-    adjacency = materialize(_both_ways(graph, 24), "op2-adjacency")
+    adjacency = materialize(_both_ways(build_graph(nodes, **options), 32), "op2-adjacency")
     rows = vectors.select(column(vectors, "vec_id", "bigint"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id") % every == 0)
     queries = rows.mapInArrow(_pack_vectors, "vec_id long, vec binary").distinct().select(F.col("vec_id").alias("query_id"), F.col("vec"))
-    queries = materialize(queries.join(nodes.select("node", "vec"), "vec").select("query_id", "node"), "op2-queries")
-    asked = nodes.join(queries.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("q"), F.col("vec").alias("qvec"))
-    seen = materialize(asked.select("q", F.col("q").alias("b"), F.lit(1.0).alias("s"), F.lit(False).alias("opened")), "op2-seen")
-    vec = nodes.select(F.col("node").alias("b"), "vec")
-    for _ in range(steps):
-        w = Window.partitionBy("q").orderBy(F.desc("s"), "b")
-        ranked = seen.withColumn("r", F.row_number().over(w))
-        front = ranked.filter((F.col("r") <= pool) & ~F.col("opened")).withColumn("o", F.row_number().over(w)).filter(F.col("o") <= open_).select("q", "b")
-        front = materialize(front, "op2-front")
-        if front.isEmpty():
-            break
-        reached = front.withColumnRenamed("b", "a").join(adjacency, "a").select("q", "b").distinct().join(seen, ["q", "b"], "left_anti")
-        scored = reached.join(vec, "b").join(asked, "q").mapInArrow(_cosines, "q long, b long, s double").filter("s is not null")
-        old = seen.join(front.withColumn("now", F.lit(True)), ["q", "b"], "left").select("q", "b", "s", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        after = materialize(old.unionByName(scored.withColumn("opened", F.lit(False))), "op2-seen")
-        discard(seen)
-        discard(front)
-        seen = after
+    queries = materialize(queries.join(nodes.select("node", "vec"), "vec").select("query_id", F.col("node").alias("q")), "op2-queries")
+    blocks = max(1, -(-queries.count() // block))
+    asked = nodes.join(queries.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("q"), "u", F.col("vec").alias("qvec")).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    asked = materialize(asked, "op2-asked")
+    units = nodes.select(F.col("node").alias("b"), "u")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "b")
-    best = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 2).select("q", "b")
-    exact = best.join(vec, "b").join(asked, "q").mapInArrow(_cosines, "q long, b long, s double")
-    out = queries.join(exact, queries.node == exact.q).join(nodes.select(F.col("node").alias("b"), "ids"), "b").select("query_id", "s", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("s").alias("score"))
+    best = []
+    for i in range(blocks):
+        own = asked.filter(F.col("block") == i)
+        known = spark.sparkContext.broadcast({r.q: np.frombuffer(bytes(r.u), np.float32) for r in own.select("q", "u").collect()})
+        seen = materialize(own.select("q", F.col("q").alias("b"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("opened")), "op2-seen")
+        for _ in range(steps):
+            ranked = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pool)
+            front = materialize(ranked.filter("not opened").withColumn("o", F.row_number().over(w)).filter(F.col("o") <= open_).select("q", "b"), "op2-front")
+            if front.isEmpty():
+                break
+            reached = front.join(adjacency, front.b == adjacency.node).select("q", F.explode("next").alias("b")).distinct().join(seen.select("q", "b"), ["q", "b"], "left_anti")
+            scored = reached.join(units, "b").select("q", "b", "u").mapInArrow(_likeness(known), "q long, b long, s float").filter("s is not null")
+            old = seen.join(front.withColumn("now", F.lit(True)), ["q", "b"], "left").select("q", "b", "s", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+            after = materialize(old.unionByName(scored.withColumn("opened", F.lit(False))), "op2-seen")
+            discard(seen)
+            discard(front)
+            seen = after
+        # a few more than k: single precision may swap close ones
+        best.append(seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * k + 4).select("q", "b"))
+    found = best[0]
+    for x in best[1:]:
+        found = found.union(x)
+    exact = found.join(nodes.select(F.col("node").alias("b"), "vec"), "b").join(asked.select("q", "qvec"), "q").mapInArrow(_cosines, "q long, b long, s double").filter("s is not null")
+    out = queries.join(exact, "q").join(nodes.select(F.col("node").alias("b"), "ids"), "b").select("query_id", "s", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
+    last = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("s").alias("score"))
 
 
 def _both_ways(graph: DataFrame, most: int) -> DataFrame:
-    """Links to follow from a node: its neighbours and its nearest reverse ones."""
-    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).filter(F.col("r") <= most)
-    return graph.select("a", "b").union(back.select("a", "b")).distinct()
+    """node, next: the nodes to follow, a node's neighbours and its nearest
+    reverse ones."""
+    back = graph.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("s"), "a"))).filter(F.col("r") <= most)
+    both = graph.select(F.col("a").alias("node"), F.col("b").alias("to")).union(back.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    return both.groupBy("node").agg(F.collect_set("to").alias("next"))
