@@ -134,8 +134,8 @@ def _emit(bins: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
     rows = []
     for sequence, pieces in bins:
         offset = 0
-        for n, _, (doc_id, ids), start in pieces:
-            rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), sequence, offset))
+        for n, _, (doc_id, ids, base, total), start in pieces:
+            rows.append((doc_id, start, n, zlib.crc32(ids[start - base : start - base + n].tobytes()), total, sequence, offset))
             offset += n
     c = list(zip(*rows)) or [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -154,11 +154,12 @@ def _pack(limits: tuple[int, int, int], end_id: int, path: str | None, hold: int
                 whole = min(limits[0], limits[2])
                 at = 0
                 while len(ids) - at >= whole:
-                    full.append((sequence, [(whole, whole, (doc_id, ids), at)]))
+                    full.append((sequence, [(whole, whole, (doc_id, ids, 0, len(ids)), at)]))
                     sequence += 1
                     at += whole
                 if at < len(ids):
-                    open_.add((len(ids) - at, len(ids) - at, (doc_id, ids), at))
+                    # only the rest of the document is kept
+                    open_.add((len(ids) - at, len(ids) - at, (doc_id, ids[at:].copy(), at, len(ids)), at))
             while len(open_.keys) > hold:
                 full.append((sequence, open_.fill()))
                 sequence += 1
