@@ -272,7 +272,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     tiles = raw.mapInArrow(_tiles(n, num, den), "tile long, sid long").repartition(parts, "tile").sortWithinPartitions("tile", "sid")
     shared = materialize(tiles.mapInArrow(_shared, "tile long, sid long"), "op3-tiles")
     now = shared.join(sets, "sid").select("tile", "sid", "n", "bits").withColumn("label", F.col("sid")).withColumn("refused", F.lit(None).cast("array<long>"))
-    partners, arrays, links, refusals, members = 0, None, [], [], None
+    partners, arrays, labels, refusals, members = 0, None, None, [], None
     while True:
         found = materialize(now.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_walks(num, den, partners), "tile long, a long, b long"), "op3-pairs")
         pairs = found.select("a", "b").distinct()
@@ -284,11 +284,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
             arrays = materialize(texts.mapInArrow(_arrays(n), "sid long, arr binary").groupBy("sid").agg(F.first("arr").alias("arr")), "op3-arrays")
         both = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
         decided = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide(num, den), "a long, b long, linked boolean"), "op3-decided")
-        links.append(decided.filter("linked").select("a", "b"))
         no = decided.filter("not linked").select("a", "b")
         again = materialize(found.join(no, ["a", "b"], "left_semi").select("tile").distinct(), "op3-again")
         discard(found)
-        labels = materialize(components(_all(links)), "op3-labels")
+        yes = decided.filter("linked").select("a", "b")
+        if labels is None:
+            labels = _relabel(ends.select(F.col("sid").alias("id"), F.col("sid").alias("label")), yes)
+        elif not yes.isEmpty():
+            # new links join components, not sets
+            of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+            labels = _relabel(labels, yes.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         if again.isEmpty():
             break
         refusals.append(no.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(no.select(F.col("b").alias("sid"), F.col("a").alias("other"))))
@@ -305,6 +310,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, label) after edges (a, b) between labels."""
+    found = components(edges).select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return materialize(labels.join(found, "label", "left").select("id", F.coalesce("least", "label").alias("label")), "op3-labels")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
