@@ -104,6 +104,17 @@ def q_manifest_round_trip(spark, d):
     return back.groupBy("id").agg(F.count("*").alias("files"), F.sum("f.original_size").alias("original_bytes"), F.max("f.path_in_archive").alias("last_path"))
 
 
+@query("select archive_id as id, count(*) as files, cast(sum(original_size) as bigint) as original_bytes, max(path_in_archive) as last_path from v_item group by 1")
+def q_manifest_round_trip_all(spark, d):
+    """The manifests of all archives; q_manifest_round_trip has a tenth of them."""
+    i = V.item(spark, d)
+    members = i.select(F.col("archive_id").alias("id"), F.col("line").alias("pos"), "path_in_archive", "original_size", "compressed_size", F.col("original_hash").alias("sha256"), F.crc32(F.col("original_hash").cast("binary")).alias("crc32"), "strategy", F.col("original_hash").alias("original_sha256"))
+    a = i.select(F.col("archive_id").alias("id")).distinct().select("id", F.lit("a").alias("archive_name"), F.lit("c").alias("category"), F.lit(0).alias("archive_size"), F.lit(None).cast("string").alias("archive_sha256"))
+    docs = sinks.manifest_documents(a, members).select(F.col("id").cast("string").alias("path"), F.col("document").cast("binary").alias("content"))
+    back = S.manifests(docs).select(F.col("path").cast("bigint").alias("id"), F.explode("manifest.files").alias("f"))
+    return back.groupBy("id").agg(F.count("*").alias("files"), F.sum("f.original_size").alias("original_bytes"), F.max("f.path_in_archive").alias("last_path"))
+
+
 @query("select doc_id, true as restored, true as best_is_least from documents")
 def q_best_codec(spark, d):
     """The smallest of four codecs for each content, found by one aggregate."""

@@ -22,6 +22,12 @@ def test_compressibility(spark, sf):
     assert rows and all(r.worth == (r.sample_percent >= 5.0) for r in rows)
 
 
+@pytest.mark.parametrize(("name", "key", "view", "of"), [("q_first_fit_bins_all", "seq", "orders", "o_orderkey"), ("q_manifest_round_trip_all", "id", "lineitem", "l_orderkey")])
+def test_no_archive_is_left_out(spark, sf, name, key, view, of):
+    rows = QUERIES[name](spark, sf).select(key).collect()
+    assert sorted(r[0] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{sf}/{view}.parquet").select(of).distinct().collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
