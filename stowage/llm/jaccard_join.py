@@ -15,9 +15,10 @@ distinct sets.
   walk over pairs that the bound lets through emits a spanning forest, never all
   pairs of a tile.
 * Each emitted pair is decided by intersecting the sorted arrays. Links join
-  components; refused pairs are remembered, and tiles that had any are looked
-  at again, with more partners a set each time, until no tile has an undecided
-  pair between two components. So no link between different sets is lost.
+  components; refused pairs are remembered, and tiles that had any, or where a
+  set had more partners than it emitted, are looked at again, with more partners
+  a set each time, until no tile has an undecided pair between two components.
+  So no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -153,10 +154,10 @@ def _passing(i: int, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, bands
     return np.where(bands.den * both >= bands.num * (size[rest] + size[i] - both), both, -1)
 
 
-def walk(members: list[tuple], bands: Bands, partners: int = 0) -> list[tuple[int, int]]:
+def walk(members: list[tuple], bands: Bands, partners: int = 0) -> tuple[list[tuple[int, int]], bool]:
     """Undecided pairs of a tile that the bound lets through, between what isn't
-    one component yet; none only if there are none. members: (sid, n, bits,
-    label, refused).
+    one component yet, none only if there are none; and whether the cap on
+    partners left any out. members: (sid, n, bits, label, refused).
 
     With partners = 0 a breadth-first spanning forest of them. Else, of each
     member outside the largest component, the pairs with up to `partners`
@@ -169,6 +170,7 @@ def walk(members: list[tuple], bands: Bands, partners: int = 0) -> list[tuple[in
     sid = np.array([x[0] for x in members], np.int64)
     label = np.array([x[3] for x in members], np.int64)
     pairs: list[tuple[int, int]] = []
+    more = False
     if partners:
         values, counts = np.unique(label, return_counts=True)
         for i in np.flatnonzero(label != values[counts.argmax()]).tolist():
@@ -178,7 +180,8 @@ def walk(members: list[tuple], bands: Bands, partners: int = 0) -> list[tuple[in
             both = _passing(i, rest, bits, size, bands)
             best = np.argsort(-both, kind="stable")[:partners]
             pairs += [(int(sid[i]), int(sid[j])) for j in rest[best[both[best] >= 0]].tolist()]
-        return pairs
+            more |= int((both >= 0).sum()) > partners
+        return pairs, more
     left = np.ones(g, bool)
     for root in range(g):
         if not left[root]:
@@ -189,24 +192,26 @@ def walk(members: list[tuple], bands: Bands, partners: int = 0) -> list[tuple[in
             i = queue.pop()
             rest = np.flatnonzero(left)
             if not len(rest):
-                return pairs
+                return pairs, more
             reached = rest[_passing(i, rest, bits, size, bands) >= 0]
             pairs += [(int(sid[i]), int(sid[j])) for j in reached.tolist()]
             left[reached] = False
             queue.extend(reached.tolist())
-    return pairs
+    return pairs, more
 
 
 def _walks(num: int, den: int, partners: int):
-    """Rows come sorted by tile."""
+    """Rows come sorted by tile. A tile that has more than its pairs gives a row
+    without a pair too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, tile, members = Bands(num, den), None, {}
 
-        def done() -> list[tuple[int, int, int]]:
+        def done() -> list[tuple[int, int | None, int | None]]:
             if len(members) < 2 or len({m[3] for m in members.values()}) < 2:
                 return []
-            return [(tile, min(p), max(p)) for p in walk(list(members.values()), bands, partners)]
+            pairs, more = walk(list(members.values()), bands, partners)
+            return [(tile, min(p), max(p)) for p in pairs] + [(tile, None, None)] * more
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             c = list(zip(*rows)) or [()] * 3
@@ -275,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     partners, arrays, labels, refusals, members = 0, None, None, [], None
     while True:
         found = materialize(now.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_walks(num, den, partners), "tile long, a long, b long"), "op3-pairs")
-        pairs = found.select("a", "b").distinct()
+        pairs = found.select("a", "b").filter("a is not null").distinct()
         if arrays is None:
             # the first walk reaches every set that has a partner at all: only their texts are read into arrays, once
             ends = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "op3-ends")
@@ -285,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         both = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
         decided = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide(num, den), "a long, b long, linked boolean"), "op3-decided")
         no = decided.filter("not linked").select("a", "b")
-        again = materialize(found.join(no, ["a", "b"], "left_semi").select("tile").distinct(), "op3-again")
+        again = materialize(found.join(no, ["a", "b"], "left_semi").select("tile").union(found.filter("a is null").select("tile")).distinct(), "op3-again")
         discard(found)
         yes = decided.filter("linked").select("a", "b")
         if labels is None:

@@ -60,6 +60,31 @@ def test_jaccard_of_many_near_copies_at_the_threshold(spark):
         assert of(jaccard_join.jaccard_components(t, *args), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows, *args), key=repr)
 
 
+def test_jaccard_goes_on_where_the_cap_on_partners_left_pairs(spark):
+    """One set is refused by all of two groups, in every tile that any two sets share; each set's best partners are in its own group, all linked,
+    and the groups are only just linked."""
+    import numpy as np
+
+    words = [f"w{i}" for i in range(60_000)]
+    hashes = np.array([int(jaccard_join.shingle_set(w.encode(), 1)[0]) for w in words], dtype=np.float64) / 2.0**64
+    order = np.argsort(hashes)
+    low = [words[i] for i in order if hashes[i] < 0.875]
+    high = [words[i] for i in order if hashes[i] >= 0.875]
+    spread = lambda k, n: np.linspace(0, n - 1, k).astype(int).tolist()
+    common, wide = [low[i] for i in spread(1785, len(low))], len(high) // 135
+    # a word of its own for each set in each of 135 pieces of the hash space's last eighth, and words of the groups
+    own = lambda v, n=135: [high[b * wide + v] for b in spread(n, 135)]
+    rows = [(100 * g + v, " ".join(common + own(25 + g, 80) + own(10 * g + v))) for g in (0, 1) for v in range(10)]
+    sid = lambda text: jaccard_join.set_id(jaccard_join.shingle_set(text.encode(), 1))
+    least = min(sid(text) for _, text in rows)
+    refused = (" ".join(common + own(27) + own(28, 100) + [high[i]]) for i in range(29, len(high), 50))
+    rows.append((999, next(text for text in refused if sid(text) < least)))  # the first of each tile
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.jaccard(rows, 1, 4, 5), key=repr)
+    assert {c for _, _, c in want} == {0, 999}
+    assert of(jaccard_join.jaccard_components(t, 1, 4, 5), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (None, "lone words stand here alone"), (7, None)]
     t = spark.createDataFrame(rows, "doc_id long, text string")
