@@ -12,6 +12,7 @@ nothing better turns up.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -166,15 +167,17 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 2, per_pivot: int = 200, pivots: int = 1024, lists: int = 4, block: int = 1024, reverse: int = 24) -> DataFrame:
-    """(a, b, s): the neighbour graph by NN-descent. Pivots are a bounded sample
-    (one for `per_pivot` nodes, at most `pivots` a dimension, smallest hashes);
-    every vector is indexed. A node is compared with the block of its cell under
+def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.002, per_pivot: int = 200, pivots: int = 1024, lists: int = 4, block: int = 1024, reverse: int = 24) -> DataFrame:
+    """(a, b, s): the neighbour graph by NN-descent, in rounds until at most a
+    share of `still` of the links is new. Pivots are a sample, smallest hashes
+    (one for `per_pivot` nodes up to `pivots` a dimension; from there on their
+    number grows with the root of the nodes, so that work on pivots and on cells
+    grows alike); every vector is indexed. A node is compared with the block of its cell under
     each of its `lists` nearest pivots; cells over `block` are several blocks. Of
     a node's reverse neighbours the `reverse` nearest take part in a round."""
     spark = nodes.sparkSession
     total = nodes.count()
-    wanted = max(1, min(pivots, total // per_pivot))
+    wanted = max(1, min(total // per_pivot, max(pivots, int((pivots * total / per_pivot) ** 0.5))))
     share = min(1.0, 40.0 * wanted / max(1, total))
     drawn = nodes.withColumn("h", F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)).filter(F.col("h") <= share)
     drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "node"))).filter(F.col("r") <= wanted).select("dim", "u").collect()
@@ -189,7 +192,7 @@ def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 2, per_pivot: int =
     cells = cells.withColumn("cell", F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("node", "cell"), F.lit(groups)))
     first = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(_within_cells(k, 2 * block), _EDGES)
     graph = materialize(_best(first, k), "op2-graph")
-    for _ in range(rounds):
+    while True:
         links = graph.select(F.col("a").alias("node"), F.col("b").alias("id"))
         back = graph.withColumn("q", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("s"), "a"))).filter(F.col("q") <= reverse).select(F.col("b").alias("node"), F.col("a").alias("id"))
         around = links.union(back).union(nodes.select("node", F.col("node").alias("id"))).distinct()
@@ -198,8 +201,11 @@ def build_graph(nodes: DataFrame, k: int = 24, rounds: int = 2, per_pivot: int =
         met = around.join(known, "id").groupBy("node").agg(F.collect_list(F.struct("id", "u", "worst")).alias("around"))
         found = met.select("around").mapInArrow(_local_joins(k), _EDGES)
         better = materialize(_best(graph.select("a", "b", "s").unionByName(found), k), "op2-graph")
+        new = better.join(graph.select("a", "b"), ["a", "b"], "left_anti").count()
         discard(graph)
         graph = better
+        if new <= still * better.count():
+            break
     return graph.select("a", "b", "s")
 
 
@@ -232,12 +238,13 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("b"), pa.array(s, pa.float64())], names=["q", "b", "s"])
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 320, open_: int = 64, steps: int = 12, block: int = 20_000, **options) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 320, open_: int = 64, block: int = 20_000, **options) -> DataFrame:
     """The k nearest rows of each query (vec_id divisible by `every`) by cosine:
     query_id, rank, vec_id, score.
 
     A query starts from its own node. A step opens the `open_` best nodes among
-    the `pool` best it has seen that aren't open yet. Queries are taken in
+    the `pool` best it has seen that aren't open yet, until all of them are. The
+    pool is that of 50,000 nodes and grows with the logarithm of more. Queries are taken in
     blocks of at most about `block`, whose vectors are broadcast.
 
     Rows with null ids, null, empty or zero vectors, null or non-finite
@@ -249,6 +256,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 320, ope
     """
     spark = vectors.sparkSession
     nodes = materialize(nodes_of(vectors, k + 1), "op2-nodes")
+    pool = max(pool, round(pool * log(max(2, nodes.count())) / log(50_000)))
     adjacency = materialize(_both_ways(build_graph(nodes, **options), 32), "op2-adjacency")
     rows = vectors.select(column(vectors, "vec_id", "bigint"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id") % every == 0)
     queries = rows.mapInArrow(_pack_vectors, "vec_id long, vec binary").distinct().select(F.col("vec_id").alias("query_id"), F.col("vec"))
@@ -263,7 +271,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 320, ope
         own = asked.filter(F.col("block") == i)
         known = spark.sparkContext.broadcast({r.q: np.frombuffer(bytes(r.u), np.float32) for r in own.select("q", "u").collect()})
         seen = materialize(own.select("q", F.col("q").alias("b"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("opened")), "op2-seen")
-        for _ in range(steps):
+        while True:
             ranked = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pool)
             front = materialize(ranked.filter("not opened").withColumn("o", F.row_number().over(w)).filter(F.col("o") <= open_).select("q", "b"), "op2-front")
             if front.isEmpty():

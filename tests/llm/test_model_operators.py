@@ -32,6 +32,20 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 600, 50))  # nothing is near a vector of two components
 
 
+def test_graph_goes_on_until_its_links_are_still(spark):
+    """Narrow first lists take more than two rounds."""
+    v = np.random.default_rng(4).normal(size=(1500, 12))
+    t = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    nodes = neighbours.nodes_of(t, 2).localCheckpoint()
+    node = {r.ids[0]: r.node for r in nodes.select("node", "ids").collect()}
+    got = {(r.a, r.b) for r in neighbours.build_graph(nodes, k=10, lists=3, block=8, reverse=10).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    best = np.argsort(-s, axis=1)[:, :6]
+    assert np.mean([(node[i], node[j]) in got for i in range(1500) for j in best[i].tolist()]) > 0.85
+
+
 def test_neighbours_of_few_and_none(spark):
     t = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 0.1]), (8, [2.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.rank) for r in neighbours.search(t).orderBy("rank").collect()] == [(8, 1), (7, 2)]
