@@ -1,7 +1,9 @@
 """Operator 8: licence scan. Aho-Corasick automata find identifier tags and
 notice phrases in one pass over a text; a shunting-yard parser turns the
 expression behind a tag (and/or/with, parentheses) into postfix and evaluates
-it to the set of licences and whether each is required or an alternative."""
+it to the set of licences and whether each is required or an alternative. An
+expression of more alternatives than are told apart is kept as it is written,
+with all its licences."""
 
 from __future__ import annotations
 
@@ -71,10 +73,10 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(post: list[str]) -> list[frozenset[str]]:
+def evaluate(post: list[str]) -> list[frozenset[str]] | None:
     """The alternatives of an expression, each a set of licences to be kept
-    together; an exception behind `with` stays with its licence. At most 64
-    alternatives are told apart; beyond, they are joined into one."""
+    together; an exception behind `with` stays with its licence. None if there
+    are over 64, which can be as many as two to the power of the licences."""
     stack: list[list[frozenset[str]]] = []
     for t in post:
         if t not in RANK:
@@ -87,21 +89,36 @@ def evaluate(post: list[str]) -> list[frozenset[str]]:
             made = list(dict.fromkeys(x | y for x in a for y in b))
         else:
             made = [frozenset(f"{i} with {'+'.join(sorted(y))}" for i in x) for x in a for y in b]
-        stack.append(made if len(made) <= 64 else [frozenset().union(*made)])
+        if len(made) > 64:
+            return None
+        stack.append(made)
     return stack[0]
 
 
-def expression(text: str) -> list[frozenset[str]] | None:
-    """Alternatives of the longest well-formed expression at the text's start."""
-    tokens, at = [], 0
-    while m := TOKEN.match(text, at):
-        at = m.end()
-        tokens.append(m[1].rstrip(".") or m[1])
-        if len(tokens) >= 200:
-            break
+def licences_of(post: list[str]) -> list[str]:
+    """The licences of an expression in their order, without what stands behind
+    `with`."""
+    out, starts = [], []
+    for t in post:
+        if t not in RANK:
+            starts.append(len(out))
+            out.append(t)
+            continue
+        b = starts.pop()
+        if t == "with":
+            del out[b:]
+    return out
+
+
+def expression(text: str, at: int = 0, stop: int | None = None) -> tuple[set[str], str] | None:
+    """Licences of the longest well-formed expression of text[at:stop] at its
+    start, and the expression: its alternatives, or as it is written."""
+    tokens, stop = [], len(text) if stop is None else stop
     # a word after a complete operand ends the expression
-    operand, depth, end, good = True, 0, 0, 0
-    for i, t in enumerate(tokens):
+    operand, depth, good = True, 0, 0
+    while m := TOKEN.match(text, at, stop):
+        at = m.end()
+        t = m[1].rstrip(".") or m[1]
         if t == "(" and operand:
             depth += 1
         elif t == ")" and not operand and depth:
@@ -112,11 +129,16 @@ def expression(text: str) -> list[frozenset[str]] | None:
             operand = False
         else:
             break
-        end = i + 1
+        tokens.append(t)
         if not operand and not depth:
-            good = end
+            good = len(tokens)
     post = postfix(tokens[:good]) if good else None
-    return evaluate(post) if post else None
+    if not post:
+        return None
+    alternatives = evaluate(post)
+    if alternatives is None:
+        return set(licences_of(post)), " ".join(tokens[:good]).replace("( ", "(").replace(" )", ")")
+    return {i for a in alternatives for i in a}, " or ".join(" and ".join(sorted(a)) for a in alternatives)
 
 
 def label(identifier: str) -> str | None:
@@ -153,20 +175,22 @@ class Scanner:
                 starts.append(count)
         expressions = []
         text = low.decode("utf-8", "replace")
-        last = -1
+        last = stop = -1
         for end, _ in self.tags.iter(text):
             if end == last:
                 continue
             last = end
-            line = text[end + 1 : end + 2001].split("\n", 1)[0]  # an expression ends with its line
-            alternatives = expression(line)
-            if not alternatives:
+            if stop <= end:  # an expression ends with its line
+                stop = text.find("\n", end + 1)
+                stop = len(text) if stop < 0 else stop
+            parsed = expression(text, end + 1, stop)
+            if not parsed:
                 continue
-            found = {x for a in alternatives for i in a if (x := label(i))}
+            found = {x for i in parsed[0] if (x := label(i))}
             if found:
                 labels |= found
                 evidence += 1.0
-                expressions.append(" or ".join(" and ".join(sorted(a)) for a in alternatives))
+                expressions.append(parsed[1])
         score = 1.0 - 0.5**evidence if evidence else 0.0
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, expressions
 
@@ -185,7 +209,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score and expressions (each tag's alternatives,
-    "a and b or c").
+    "a and b or c"; an expression of over 64 alternatives as it is written).
 
     score rises with the evidence: 1 - 0.5^(notice phrases / 2 + expressions).
     Null and empty texts have no words, empty labels and score 0; phrases may

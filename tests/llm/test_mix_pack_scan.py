@@ -126,6 +126,16 @@ def test_licence_base(docs, rows, spark):
     assert got[202].labels == "gpl" and got[203].labels == "" and got[204].labels == "mit"
 
 
+def test_long_expressions_are_read_whole():
+    scan = licences.Scanner().scan
+    many = " or ".join(f"own-{i}" for i in range(150))
+    for text in (f"license: (mit or {many}) and bsd-3-clause", f"license: ({many} or mit) and bsd-3-clause", f"license: mit and (own-1 or {' ' * 3000}bsd-2-clause)"):
+        assert scan(text.encode())[5] == "bsd,mit" and scan(text.encode())[6] > 0
+    assert scan(f"license: mit or {many}\nend".encode())[7] == [f"mit or {many}"]
+    both = " and ".join(f"(mit or own-{i})" for i in range(9))
+    assert scan(f"license: {both} and gpl-2.0 with (a or isc)".encode())[5:] == ("gpl,mit", 0.5, [f"{both} and gpl-2.0 with (a or isc)"])
+
+
 def test_shunting_yard():
     assert licences.postfix(["a", "or", "b", "and", "c"]) == ["a", "b", "c", "and", "or"]
     assert licences.postfix(["(", "a", "or", "b", ")", "and", "c"]) == ["a", "b", "or", "c", "and"]
