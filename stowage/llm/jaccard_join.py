@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, column, discard, documents, materialize, mix64, words
+from .common import WORD_PATTERN, bytes_of, column, discard, documents, materialize, mix64, words
 from .components import components
 
 BITS = 512
@@ -98,7 +98,8 @@ def _sets(n: int):
                 ids.append(set_id(s))
                 sizes.append(len(s))
                 maps.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "sid", "n", "bits"])
+            own = [x for x in batch.schema.names if x != "raw"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=[*own, "sid", "n", "bits"])
 
     return run
 
@@ -269,9 +270,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     component_id unless all ids of the group are null; extra columns are
     ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    raw = docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).select("doc_id", bytes_of().alias("raw"))
-    rows = materialize(raw.mapInArrow(_sets(n), "doc_id long, sid long, n long, bits binary"), "op3-sets")
+    grouped = _grouped(docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).select("doc_id", bytes_of().alias("raw")), n, num, den)
+    least = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = grouped.join(least, "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(raw: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The columns of raw (doc_id, raw and others) but raw, with the set's sid, n
+    and bits, and the label of its component."""
+    spark = raw.sparkSession
+    own = [f"{name} {kind}" for name, kind in raw.dtypes if name != "raw"]
+    rows = materialize(raw.mapInArrow(_sets(n), ", ".join([*own, "sid long, n long, bits binary"])), "op3-sets")
     sets = rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = raw.mapInArrow(_tiles(n, num, den), "tile long, sid long").repartition(parts, "tile").sortWithinPartitions("tile", "sid")
@@ -309,10 +319,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         now = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").join(refused, "sid", "left")
         now = now.select("tile", "sid", "n", "bits", F.coalesce("label", "sid").alias("label"), "refused")
         partners = 4 if not partners else partners * 4
-    grouped = rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -353,11 +360,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each group stays: the row of the smallest id (of rows
-    that repeat that id with the same text, one; null ids stay where alone).
-    Empty texts are linked with nothing and all stay."""
-    docs = documents(docs)
-    found = materialize(jaccard_components(docs, n, num, den), "op3-groups")
-    out = docs.join(found.filter("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 and doc_id is not null").select("doc_id")
-    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One row of each group stays: that of the smallest id, nulls last; of
+    different texts with that id, the one with the smallest hash. Empty texts are
+    linked with nothing and all stay."""
+    keyed = documents(docs).withColumn("key", F.unhex(F.md5(bytes_of())))
+    found = materialize(_grouped(keyed.select("doc_id", "key", bytes_of().alias("raw")), n, num, den).select("doc_id", "key", "n", "label").filter("n > 0"), "op3-groups")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"), F.count("*").alias("c"))
+    first = first.select(F.col("r.doc_id").alias("d"), F.col("r.key").alias("k"), (F.col("c") > 1).alias("several"))
+    this = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
+    worded = F.col("text").isNotNull() & F.col("text").rlike(WORD_PATTERN)
+    kept = keyed.filter(worded).join(first, this).drop("d", "k")
+    alone, several = kept.filter("not several"), kept.filter("several").dropDuplicates(["doc_id", "key"])
+    return documents(keyed.filter(~F.coalesce(worded, F.lit(False)))).unionByName(documents(alone)).unionByName(documents(several))

@@ -112,6 +112,14 @@ def test_keep_one(spark):
     assert got == [(1,), (4,), (5,), (6,)]
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    """A row goes by itself, not with its id; null ids and texts of one id are one group's rows too."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (5, a), (5, "a clean text that nothing else is like"), (None, b), (None, b.replace("b30", "z")), (None, b.replace("b31", "z")), (7, "p q r s t u v"), (7, "P q r s t u v"), (None, "p q r s t u v")]
+    got = of(jaccard_join.keep_one(spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)), "doc_id", "text")
+    assert len(got) == 4 and {(1, a), (5, rows[2][1])} <= set(got) and [d for d, _ in got].count(7) == 1 and [d for d, _ in got].count(None) == 1
+
+
 def test_empty_tables(empty):
     assert suffix_dedup.dedup(empty).collect() == []
     assert jaccard_join.jaccard_components(empty).collect() == []
