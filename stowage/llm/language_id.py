@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, column, crc_mod_col
@@ -98,18 +98,27 @@ def families_of(profiles: np.ndarray, link: float) -> list[list[int]]:
     """Average-linkage clusters of profiles while their cosine is over `link`,
     with at least two families left if there are two languages."""
     groups = [[i] for i in range(len(profiles))]
-    near = profiles @ profiles.T
+    sums, sizes = (profiles @ profiles.T).astype(np.float64), np.ones(len(profiles))
     while len(groups) > 2:
-        s, a, b = max((near[np.ix_(groups[a], groups[b])].mean(), a, b) for a in range(len(groups)) for b in range(a))
-        if s < link:
+        means = np.where(np.tri(len(groups), k=-1, dtype=bool), sums / np.outer(sizes, sizes), -np.inf)
+        a, b = divmod(int(means.argmax()), len(groups))
+        if means[a, b] < link:
             break
         groups[b] += groups.pop(a)
+        sums[b] += sums[a]
+        sums[:, b] += sums[:, a]
+        sizes[b] += sizes[a]
+        sums, sizes = np.delete(np.delete(sums, a, 0), a, 1), np.delete(sizes, a)
     return groups
 
 
 def fit(rows: list[tuple[bytes, str]], link: float = 0.5) -> Model:
     """rows: (text, language)."""
-    seen = [(x, lang) for raw, lang in rows if (x := features(raw)) is not None]
+    return fit_features([(x, lang) for raw, lang in rows if (x := features(raw)) is not None], link)
+
+
+def fit_features(seen: list[tuple[np.ndarray, str]], link: float = 0.5) -> Model:
+    """seen: (features, language)."""
     langs = sorted({lang for _, lang in seen})
     if not langs:
         return Model([["und"]], np.zeros((1, DIM + 1)), [{}])
@@ -127,23 +136,36 @@ def fit(rows: list[tuple[bytes, str]], link: float = 0.5) -> Model:
     return Model([[langs[i] for i in g] for g in groups], np.array(weights), pairs)
 
 
-def sample_of(docs: DataFrame, per_lang: int, most: int) -> list[tuple[bytes, str]]:
-    """Bounded training rows: of the documents whose remainder isn't 2 with a
-    language, those with the smallest hashes, per_lang of each of the first
-    `most` languages, at most 20,000 bytes of text each (the sample's bound;
-    predictions read whole texts)."""
-    rows = docs.filter((crc_mod_col(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("c")).orderBy("lang").limit(most).collect()
-    want = F.lit(None).cast("double")
-    total = {r.lang: r.c for r in counts}
-    for lang, c in total.items():
-        want = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_lang / c + 30.0 / c))).otherwise(want)
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of whole texts, those that aren't 0; texts without letters
+    have none and go."""
+    for batch in batches:
+        found = [(i, x) for i, raw in enumerate(batch.column("raw")) if (x := features(raw.as_py())) is not None]
+        own = batch.select(["lang", "u", "key"]).take(pa.array([i for i, _ in found], pa.int64()))
+        at = [np.flatnonzero(x) for _, x in found]
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([x[a].tobytes() for a, (_, x) in zip(at, found)], pa.binary())], names=["lang", "u", "key", "at", "x"])
+
+
+def sample_of(docs: DataFrame, per_lang: int, rows: int) -> list[tuple[np.ndarray, str]]:
+    """Bounded training rows (features, language): of the documents whose
+    remainder isn't 2 with a language, those with the smallest hashes, per_lang
+    of each language, fewer (4 at least) where there are so many languages that
+    it would be over `rows`. Every language is learned; texts are read whole, on
+    the executors."""
+    labelled = docs.filter((crc_mod_col(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("c"))
+    per_lang = min(per_lang, max(4, rows // max(1, counts.count())))
     h = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang-sample")), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    picked = rows.select("lang", h, F.substring(F.col("text").cast("binary"), 1, 20_000).alias("raw"), want.alias("want")).filter("u < want")
-    by: dict[str, list] = {}
-    for r in sorted(picked.select("lang", "u", "raw").collect(), key=lambda r: (r.lang, r.u, bytes(r.raw))):
-        by.setdefault(r.lang, []).append((bytes(r.raw), r.lang))
-    return [x for v in by.values() for x in v[:per_lang]]
+    want = counts.select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_lang + 30.0) / F.col("c")).alias("want"))
+    raw = F.col("text").cast("binary")
+    picked = labelled.select("lang", h, raw.alias("raw"), F.md5(raw).alias("key")).join(F.broadcast(want), "lang").filter("u < want")
+    first = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))).filter(F.col("r") <= per_lang)
+    out = []
+    for r in sorted(first.select("lang", "u", "key", "raw").mapInArrow(_features, "lang string, u double, key string, at binary, x binary").collect(), key=lambda r: (r.lang, r.u, r.key)):
+        x = np.zeros(DIM, np.float32)
+        x[np.frombuffer(bytes(r.at), np.uint16)] = np.frombuffer(bytes(r.x), np.float32)
+        out.append((x, r.lang))
+    return out
 
 
 def _predict(model: Model):
@@ -160,19 +182,19 @@ def _predict(model: Model):
     return run
 
 
-def identify(docs: DataFrame, per_lang: int = 400, most: int = 200) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 400, rows: int = 8000) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
-    The model is fit on at most per_lang documents of each of at most `most`
-    languages (see sample_of); only text is read for a prediction. Null texts
+    The model is fit on at most per_lang documents of each language, about `rows`
+    in all (see sample_of); only text is read for a prediction. Null texts
     and texts without letters are `und` with score 0; null languages are not
     learned from; without any labelled text all is `und`; very long texts are
     read whole; rows that repeat an id are predicted each; null ids are kept;
     extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string"), column(docs, "lang", "string"))
-    model = fit(sample_of(rows, per_lang, most))
-    raw = rows.select("doc_id", (crc_mod_col(4) == 2).alias("held_out"), bytes_of().alias("raw"))
+    own = docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string"), column(docs, "lang", "string"))
+    model = fit_features(sample_of(own, per_lang, rows))
+    raw = own.select("doc_id", (crc_mod_col(4) == 2).alias("held_out"), bytes_of().alias("raw"))
     return raw.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -181,7 +203,7 @@ def accept(docs: DataFrame, **options) -> DataFrame:
     from .common import documents
 
     docs = documents(docs)
-    model = fit(sample_of(docs, options.get("per_lang", 400), options.get("most", 200)))
+    model = fit_features(sample_of(docs, options.get("per_lang", 400), options.get("rows", 8000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -105,6 +105,17 @@ def test_language_edges(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(t).collect()} == {"und"}
 
 
+def test_all_languages_are_learned_from_whole_texts(spark, monkeypatch):
+    words = {f"l{i:03}": f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)} " for i in range(205)}
+    rows = [(1000 * n + i, w * 20, lang) for n, (lang, w) in enumerate(words.items()) for i in range(4)] + [(1_000_000 + i, "0123456789 " * 2000 + "öüä " * 20, "zz") for i in range(4)]
+    seen = []
+    none = language_id.fit([])
+    for name in ("fit", "fit_features"):
+        monkeypatch.setattr(language_id, name, lambda got, *_: seen.extend(got) or none, raising=False)
+    language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in seen} == {*words, "zz"}
+
+
 def test_families_split_close_languages():
     import random
 
