@@ -199,15 +199,17 @@ def identify(docs: DataFrame, per_lang: int = 400, rows: int = 8000) -> DataFram
 
 
 def accept(docs: DataFrame, **options) -> DataFrame:
-    """Documents with a language, as they are; those that are `und` go."""
+    """Documents with a language, as they are; those that are `und` go. With
+    nothing to learn from, only those without letters do."""
     from .common import documents
 
     docs = documents(docs)
-    model = fit_features(sample_of(docs, options.get("per_lang", 400), options.get("rows", 8000)))
+    sample = sample_of(docs, options.get("per_lang", 400), options.get("rows", 8000))
+    model, learned = fit_features(sample), bool(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(x := features((t.as_py() or "").encode("utf-8", "surrogatepass"))) is not None and model.predict(x)[0] != "und" for t in batch.column("text")]
+            keep = [(x := features((t.as_py() or "").encode("utf-8", "surrogatepass"))) is not None and (not learned or model.predict(x)[0] != "und") for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

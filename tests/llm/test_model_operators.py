@@ -105,6 +105,11 @@ def test_language_edges(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(t).collect()} == {"und"}
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    t = spark.createDataFrame([(1, "no labels here", None), (2, "12 34", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language_id.accept(t).collect()] == [1]
+
+
 def test_all_languages_are_learned_from_whole_texts(spark, monkeypatch):
     words = {f"l{i:03}": f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)} " for i in range(205)}
     rows = [(1000 * n + i, w * 20, lang) for n, (lang, w) in enumerate(words.items()) for i in range(4)] + [(1_000_000 + i, "0123456789 " * 2000 + "öüä " * 20, "zz") for i in range(4)]
