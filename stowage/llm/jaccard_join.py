@@ -6,19 +6,24 @@ distinct sets.
 
 * Bands: sizes are cut into bands with ratio 1/t, so linked sets stand in the
   same or in neighbouring bands. Within a band, linked sets differ in at most d
-  shingles, hence of d + 1 segments of the hash space at least one has the same
-  shingles in both. A tile is (band, segment, the segment's shingles). Common
-  passages do not make large tiles, as a segment mixes some 1/(1-t) shingles
-  from all over the text.
-* In a tile, the bit count of the difference of two hashed bitmaps bounds the
-  overlap from above: |x & y| <= (|x| + |y| - bits(bx ^ by)) / 2. A breadth-first
-  walk over pairs that the bound lets through emits a spanning forest, never all
-  pairs of a tile.
-* Each emitted pair is decided by intersecting the sorted arrays. Links join
-  components; refused pairs are remembered, and tiles that had any, or where a
-  set had more partners than it emitted, are looked at again, with more partners
-  a set each time, until no tile has an undecided pair between two components.
-  So no link between different sets is lost.
+  shingles, hence of d + 1 + z segments of the hash space at least z + 1 have
+  the same shingles in both. A tile is (band, segment, the segment's shingles).
+  A set with at most z empty segments gives no rows for them, as one of the
+  z + 1 that it shares isn't empty then. Common passages do not make large
+  tiles, as a segment mixes some 1/(1-t) shingles from all over the text.
+* A hashed bitmap of each set bounds overlaps from above by bit counts:
+  |x & y| <= (|x| + |y| - bits(bx ^ by)) / 2. Bitmaps are kept by set and are as
+  wide as the set needs; a wider one is folded to the other's width.
+* First each set is compared with the smallest set of each of its tiles, and of
+  those that the bound lets through the best is decided by intersecting the
+  sorted arrays. So groups of copies become components without pairs.
+* Tiles that still hold several components are compared whole, in blocks of
+  bounded size, a task for each pair of blocks: each set outside the tile's
+  largest component emits its best partners by the bound in other components.
+  All that are emitted and not decided yet are decided. Where a set had more
+  than it emitted, the block is looked at again, with more partners a set each
+  time, until no block has an undecided pair between two components. So no link
+  between different sets is lost.
 """
 
 from __future__ import annotations
@@ -31,10 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, bytes_of, column, discard, documents, materialize, mix64, words
+from .common import WORD_PATTERN, bytes_of, column, discard, documents, materialize, mix64, partitions_for, words
 from .components import components
 
-BITS = 512
+#: Least width of a bitmap, and most members of a block of a tile.
+BITS, BLOCK = 512, 2048
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -58,11 +64,21 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit is set where an odd number of shingles falls on it."""
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    """A bit is set where an odd number of shingles falls on it. The width is a
+    power of two, over the number of shingles."""
+    width = max(BITS, 1 << len(s).bit_length())
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller width (in 64-bit words)."""
+    out = np.frombuffer(bits, np.uint64)
+    while len(out) > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 class Bands:
     """The bands of sizes for a threshold num/den."""
 
@@ -70,6 +86,7 @@ class Bands:
         if not 0 < num <= den:
             raise ValueError("the threshold must be over 0 and at most 1")
         self.num, self.den, self.ends = num, den, [1]
+        self._schemes: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         while self.ends[-1] <= n:
@@ -77,13 +94,27 @@ class Bands:
             self.ends.append(max(e + 1, -(-e * self.den // self.num)))
         return int(np.searchsorted(self.ends, n, side="right"))
 
-    def segments(self, band: int) -> int:
-        """One more than the largest difference of linked sets of at most the
-        band's largest size: |x ^ y| <= (|x| + |y|)(den - num)/(den + num)."""
-        self.of(1)
-        while len(self.ends) <= band:
-            self.of(self.ends[-1])
-        return 2 * (self.ends[band] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+    def scheme(self, band: int) -> tuple[int, int]:
+        """(segments, z): d + 1 + z segments, d the largest difference of linked
+        sets of at most the band's largest size, |x ^ y| <= (|x| + |y|)(den -
+        num)/(den + num). z is about as many segments as the smallest sets that
+        use the scheme (the band below does too) leave empty, or 0 where that
+        would take more segments than d + 1 again."""
+        if band not in self._schemes:
+            self.of(1)
+            while len(self.ends) <= band:
+                self.of(self.ends[-1])
+            need = 2 * (self.ends[band] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+            least = self.ends[max(0, band - 2)]
+
+            def enough(z: int) -> bool:
+                m = need + z
+                empty = m * (1 - 1 / m) ** least
+                return z >= empty + 2 * empty**0.5
+
+            z = next((z for z in range(need + 1) if enough(z)), 0)
+            self._schemes[band] = (need + z, z)
+        return self._schemes[band]
 
     def linked(self, x: int, y: int, both: int) -> bool:
         return self.den * both >= self.num * (x + y - both)
@@ -97,7 +128,7 @@ def _sets(n: int):
                 s = shingle_set(raw.as_py(), n)
                 ids.append(set_id(s))
                 sizes.append(len(s))
-                maps.append(bitmap(s))
+                maps.append(bitmap(s) if len(s) else None)
             own = [x for x in batch.schema.names if x != "raw"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=[*own, "sid", "n", "bits"])
 
@@ -109,12 +140,14 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     that are larger."""
     out, own = [], bands.of(len(s))
     for band in (own, own + 1):
-        m = bands.segments(band)
+        m, z = bands.scheme(band)
         cut = np.searchsorted((s >> np.uint64(32)).astype(np.float64), np.arange(1, m) * (2.0**32 / m)).astype(np.int64)
         cut = np.concatenate(([0], cut, [len(s)]))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s * _P[1]), dtype=np.uint64)))
         seg = sums[cut[1:]] - sums[cut[:-1]] + (cut[1:] - cut[:-1]).astype(np.uint64) * _P[2]
-        out.append(mix64(seg ^ mix64(np.arange(m, dtype=np.uint64) * _P[0] + np.uint64(band))))
+        tile = mix64(seg ^ mix64(np.arange(m, dtype=np.uint64) * _P[0] + np.uint64(band)))
+        filled = cut[1:] > cut[:-1]
+        out.append(tile[filled] if m - int(filled.sum()) <= z else tile)
     return np.concatenate(out)
 
 
@@ -148,94 +181,131 @@ def _tiles(n: int, num: int, den: int):
     return run
 
 
-def _passing(i: int, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, bands: Bands) -> np.ndarray:
-    """Upper bounds of the overlap of i with the rest, -1 where it can't do."""
-    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    both = np.minimum((size[rest] + size[i] - differ) // 2, np.minimum(size[rest], size[i]))
-    return np.where(bands.den * both >= bands.num * (size[rest] + size[i] - both), both, -1)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tile, hub, sid) of tiles that several sets share; rows come sorted by
+    tile and set. The hub is the tile's smallest set. Only the last row is held
+    back, however large a tile is."""
+    last: tuple[int, int, int] | None = None  # tile, hub, sid of the last row
+    waits = False  # the last row is its tile's first and isn't given out yet
+    for batch in batches:
+        t, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(t):
+            continue
+        before = (last[0], last[2]) if last else (t[0], s[0])
+        prior_t, prior_s = np.append(before[0], t[:-1]), np.append(before[1], s[:-1])
+        fresh = (t != prior_t) | (s != prior_s)  # copies of a set are one row
+        fresh[0] |= last is None
+        t, s = t[fresh], s[fresh]
+        if not len(t):
+            continue
+        first = np.append(last is None or t[0] != last[0], t[1:] != t[:-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
+        hub = np.where(at >= 0, s[at], last[1] if last else 0)
+        out = ~first | np.append(~first[1:], False)
+        rows = [t[out], hub[out], s[out]]
+        if waits and not first[0]:
+            rows = [np.append(x, y) for x, y in zip(last, rows)]
+        last, waits = (int(t[-1]), int(hub[-1]), int(s[-1])), bool(first[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["tile", "hub", "sid"])
+
+
+def _most(x: np.ndarray, y: np.ndarray, differ: np.ndarray, bands: Bands) -> np.ndarray:
+    """Upper bounds of the overlap of sets of x and y shingles whose bitmaps
+    differ in so many bits, -1 where that is too little for a link."""
+    both = np.minimum((x + y - differ) // 2, np.minimum(x, y))
+    return np.where(bands.den * both >= bands.num * (x + y - both), both, -1)
 
 
-def walk(members: list[tuple], bands: Bands, partners: int = 0) -> tuple[list[tuple[int, int]], bool]:
-    """Undecided pairs of a tile that the bound lets through, between what isn't
-    one component yet, none only if there are none; and whether the cap on
-    partners left any out. members: (sid, n, bits, label, refused).
+def _bounded(num: int, den: int):
+    """Pairs that the bound lets through, with the bound."""
 
-    With partners = 0 a breadth-first spanning forest of them. Else, of each
-    member outside the largest component, the pairs with up to `partners`
-    others, those with the largest bounds: what a refusal leaves is few, and is
-    done in a few rounds.
-    """
-    g = len(members)
-    bits = np.frombuffer(b"".join(x[2] for x in members), np.uint64).reshape(g, BITS // 64)
-    size = np.array([x[1] for x in members], np.int64)
-    sid = np.array([x[0] for x in members], np.int64)
-    label = np.array([x[3] for x in members], np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            differ = []
+            for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()):
+                width = min(len(x), len(y)) // 8
+                differ.append(int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()))
+            both = _most(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), np.array(differ, np.int64), bands)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both)], names=["a", "b", "most"])
+            yield out.filter(pa.array(both >= 0))
+
+    return run
+
+
+def walk(sid: np.ndarray, size: np.ndarray, bits: list[bytes], label: np.ndarray, side: np.ndarray | None, bands: Bands, partners: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a block of a tile that the bound lets through, between sets of
+    different labels and, if given, different sides: of each set outside the
+    largest component those with up to `partners` others, those with the largest
+    bounds; and whether that left any out."""
+    width = min(map(len, bits)) // 8
+    maps = np.array([folded(x, width) for x in bits])
+    values, counts = np.unique(label, return_counts=True)
+    todo = np.flatnonzero(label != values[counts.argmax()])
     pairs: list[tuple[int, int]] = []
-    more = False
-    if partners:
-        values, counts = np.unique(label, return_counts=True)
-        for i in np.flatnonzero(label != values[counts.argmax()]).tolist():
-            rest = np.flatnonzero(label != label[i])
-            if members[i][4]:
-                rest = rest[~np.isin(sid[rest], members[i][4])]
-            both = _passing(i, rest, bits, size, bands)
-            best = np.argsort(-both, kind="stable")[:partners]
-            pairs += [(int(sid[i]), int(sid[j])) for j in rest[best[both[best] >= 0]].tolist()]
-            more |= int((both >= 0).sum()) > partners
-        return pairs, more
-    left = np.ones(g, bool)
-    for root in range(g):
-        if not left[root]:
-            continue
-        left[root] = False
-        queue = [root]
-        while queue:
-            i = queue.pop()
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                return pairs, more
-            reached = rest[_passing(i, rest, bits, size, bands) >= 0]
-            pairs += [(int(sid[i]), int(sid[j])) for j in reached.tolist()]
-            left[reached] = False
-            queue.extend(reached.tolist())
-    return pairs, more
+    more, step = False, max(1, 1_000_000 // maps.size)
+    for at in range(0, len(todo), step):
+        rows = todo[at : at + step]
+        differ = np.bitwise_count(maps[rows, None] ^ maps[None]).sum(axis=2, dtype=np.int64)
+        apart = label[rows, None] != label[None]
+        if side is not None:
+            apart &= side[rows, None] != side[None]
+        both = np.where(apart, _most(size[rows, None], size[None], differ, bands), -1)
+        passing = (both >= 0).sum(axis=1)
+        more |= bool((passing > partners).any())
+        for r in np.flatnonzero(passing).tolist():
+            best = np.argsort(-both[r], kind="stable")[: min(partners, passing[r])]
+            pairs += [(int(sid[rows[r]]), int(j)) for j in sid[best]]
+    return [(min(p), max(p)) for p in pairs], more
 
 
 def _walks(num: int, den: int, partners: int):
-    """Rows come sorted by tile. A tile that has more than its pairs gives a row
-    without a pair too."""
+    """Rows come sorted by tile and block. A block that has more than its pairs
+    gives a row without a pair too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, tile, members = Bands(num, den), None, {}
+        bands, held = Bands(num, den), None
 
-        def done() -> list[tuple[int, int | None, int | None]]:
-            if len(members) < 2 or len({m[3] for m in members.values()}) < 2:
-                return []
-            pairs, more = walk(list(members.values()), bands, partners)
-            return [(tile, min(p), max(p)) for p in pairs] + [(tile, None, None)] * more
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            c = list(zip(*rows)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["tile", "a", "b"])
+        def done(t: pa.Table) -> pa.RecordBatch:
+            c = {x: t.column(x).to_numpy() for x in ("tile", "lo", "hi", "sid", "n", "label", "chunk")}
+            bits = t.column("bits").to_pylist()
+            edge = np.flatnonzero(np.append(True, (c["tile"][1:] != c["tile"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])))
+            rows = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), t.num_rows]):
+                lo, hi = int(c["lo"][a]), int(c["hi"][a])
+                pairs, more = walk(c["sid"][a:b], c["n"][a:b], bits[a:b], c["label"][a:b], c["chunk"][a:b] if lo < hi else None, bands, partners)
+                where = (int(c["tile"][a]), lo, hi)
+                rows += [(*where, *p) for p in pairs] + [(*where, None, None)] * more
+            columns = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["tile", "lo", "hi", "a", "b"])
 
         for batch in batches:
-            rows = []
-            for t, *m in zip(*(batch.column(x).to_pylist() for x in ("tile", "sid", "n", "bits", "label", "refused"))):
-                if t != tile:
-                    rows += done()
-                    tile, members = t, {}
-                members[m[0]] = m
-            yield batch_of(rows)
-        yield batch_of(done())
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, t]) if held is not None else t
+            last = [held.column(x)[-1].as_py() for x in ("tile", "lo", "hi")]
+            same = np.logical_and.reduce([held.column(x).to_numpy() == v for x, v in zip(("tile", "lo", "hi"), last)])
+            cut = int(same.argmax())  # the last block may go on
+            if cut:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield done(held)
 
     return run
 
 
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids, arrays = [], []
-            for raw in batch.column("raw"):
+            for key, raw in zip(batch.column("hash").to_pylist(), batch.column("raw")):
+                if key in seen:  # a repeated row
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(key)
                 s = shingle_set(raw.as_py(), n)
                 ids.append(set_id(s))
                 arrays.append(s.tobytes())
@@ -259,6 +329,54 @@ def _decide(num: int, den: int):
     return run
 
 
+class _Join:
+    """The state of a join: sets by sid, their arrays as far as they were needed,
+    labels of sets that are linked, refused pairs."""
+
+    def __init__(self, raw: DataFrame, sets: DataFrame, n: int, num: int, den: int):
+        self.raw, self.sets, self.n, self.num, self.den = raw, sets, n, num, den
+        self.arrays: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.refused: DataFrame | None = None
+
+    def passing(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, most) of the pairs that the bound lets through."""
+        of = lambda c: self.sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long, most long")
+
+    def decide(self, pairs: DataFrame) -> None:
+        """Decides pairs (a, b) exactly, and joins components by the links."""
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+        if self.arrays is not None:
+            ends = ends.join(self.arrays.select("sid"), "sid", "left_anti")
+        ends = materialize(ends, "op3-ends")
+        if self.arrays is None or not ends.isEmpty():
+            wanted = self.sets.join(ends, "sid", "left_semi").select(F.col("rep.hash").alias("hash"), F.col("rep.doc_id").alias("rep"))
+            texts = self.raw.join(wanted, (self.raw["hash"] == wanted["hash"]) & self.raw.doc_id.eqNullSafe(wanted.rep)).select(self.raw["hash"], "raw")
+            fresh = materialize(texts.mapInArrow(_arrays(self.n), "sid long, arr binary"), "op3-arrays")
+            self.arrays = self.arrays.unionByName(fresh) if self.arrays is not None else fresh
+        discard(ends)
+        of = lambda c, x: self.arrays.select(F.col("sid").alias(c), F.col("arr").alias(x))
+        both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b")
+        decided = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide(self.num, self.den), "a long, b long, linked boolean").distinct(), "op3-decided")
+        no, yes = (decided.filter(x).select("a", "b") for x in ("not linked", "linked"))
+        self.refused = self.refused.unionByName(no) if self.refused is not None else no
+        if self.labels is None:
+            self.labels = materialize(components(yes), "op3-labels")
+        elif not yes.isEmpty():
+            # new links join components, not sets
+            old = self.labels
+            found = materialize(components(self.labelled(self.labelled(yes, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))), "op3-found")
+            moved = old.join(found.select(F.col("id").alias("label"), F.col("label").alias("least")), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+            self.labels = materialize(moved.unionByName(found.join(old.select("id"), "id", "left_anti").select("id", "label")), "op3-labels")
+            discard(old)
+            discard(found)
+
+    def labelled(self, df: DataFrame, sid: str, name: str) -> DataFrame:
+        """df with the label of its column sid."""
+        return df.join(self.labels.select(F.col("id").alias(sid), F.col("label").alias(name)), sid, "left").withColumn(name, F.coalesce(name, sid))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Groups documents whose sets of distinct n-word shingles have a Jaccard
     similarity of at least num/den, by way of others if need be. A row per input
@@ -267,8 +385,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     Null and empty texts and texts of white space have no shingles and stand
     alone; fewer than n words are one shingle; equal sets are linked; rows that
     repeat an id are documents of their own with that id; a null id never is a
-    component_id unless all ids of the group are null; extra columns are
-    ignored; an empty table gives an empty result.
+    component_id unless all ids of the group are null; very long texts are read
+    whole; extra columns are ignored; an empty table gives an empty result.
     """
     grouped = _grouped(docs.select(column(docs, "doc_id", "bigint"), column(docs, "text", "string")).select("doc_id", bytes_of().alias("raw")), n, num, den)
     least = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -276,87 +394,48 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _grouped(raw: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The columns of raw (doc_id, raw and others) but raw, with the set's sid, n
-    and bits, and the label of its component."""
-    spark = raw.sparkSession
+def _grouped(raw: DataFrame, n: int, num: int, den: int, block: int | None = None) -> DataFrame:
+    """The columns of raw (doc_id, raw and others) but raw, with the set's sid
+    and n, and the label of its component."""
+    raw = raw.withColumn("hash", F.xxhash64("raw"))
     own = [f"{name} {kind}" for name, kind in raw.dtypes if name != "raw"]
-    rows = materialize(raw.mapInArrow(_sets(n), ", ".join([*own, "sid long, n long, bits binary"])), "op3-sets")
-    sets = rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = raw.mapInArrow(_tiles(n, num, den), "tile long, sid long").repartition(parts, "tile").sortWithinPartitions("tile", "sid")
-    shared = materialize(tiles.mapInArrow(_shared, "tile long, sid long"), "op3-tiles")
-    now = shared.join(sets, "sid").select("tile", "sid", "n", "bits").withColumn("label", F.col("sid")).withColumn("refused", F.lit(None).cast("array<long>"))
-    partners, arrays, labels, refusals, members = 0, None, None, [], None
+    rows = materialize(raw.mapInArrow(_sets(n), ", ".join([*own, "sid long, n long, bits binary"])), "op3-rows")
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("hash", "doc_id")).alias("rep"))
+    state = _Join(raw, materialize(sets, "op3-sets"), n, num, den)
+    parts = partitions_for(raw.sparkSession)
+    tiles = raw.select("raw").mapInArrow(_tiles(n, num, den), "tile long, sid long").repartition(parts, "tile").sortWithinPartitions("tile", "sid")
+    shared = materialize(tiles.mapInArrow(_shared, "tile long, hub long, sid long"), "op3-tiles")
+    # each set with the best of the smallest sets of its tiles
+    star = state.passing(shared.filter("hub < sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
+    state.decide(materialize(star.groupBy("b").agg(F.max(F.struct("most", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "op3-star"))
+    members = _open_blocks(state, shared, block or BLOCK)
+    partners = 4
     while True:
-        found = materialize(now.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_walks(num, den, partners), "tile long, a long, b long"), "op3-pairs")
-        pairs = found.select("a", "b").filter("a is not null").distinct()
-        if arrays is None:
-            # the first walk reaches every set that has a partner at all: only their texts are read into arrays, once
-            ends = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "op3-ends")
-            wanted = sets.join(ends, "sid").select("rep", "sid")
-            texts = raw.join(wanted, raw.doc_id.eqNullSafe(wanted.rep)).select("raw", "sid")
-            arrays = materialize(texts.mapInArrow(_arrays(n), "sid long, arr binary").groupBy("sid").agg(F.first("arr").alias("arr")), "op3-arrays")
-        both = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("y")), "b")
-        decided = materialize(both.select("a", "b", "x", "y").mapInArrow(_decide(num, den), "a long, b long, linked boolean"), "op3-decided")
-        no = decided.filter("not linked").select("a", "b")
-        again = materialize(found.join(no, ["a", "b"], "left_semi").select("tile").union(found.filter("a is null").select("tile")).distinct(), "op3-again")
-        discard(found)
-        yes = decided.filter("linked").select("a", "b")
-        if labels is None:
-            labels = _relabel(ends.select(F.col("sid").alias("id"), F.col("sid").alias("label")), yes)
-        elif not yes.isEmpty():
-            # new links join components, not sets
-            of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-            labels = _relabel(labels, yes.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        found = materialize(members.repartition(parts, "tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(_walks(num, den, partners), "tile long, lo long, hi long, a long, b long"), "op3-pairs")
+        pairs = found.filter("a is not null").select("a", "b").distinct().join(state.refused, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "op3-candidates")
+        if not pairs.isEmpty():
+            state.decide(pairs)
+        again = found.filter("a is null").select("tile", "lo", "hi")
         if again.isEmpty():
             break
-        refusals.append(no.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(no.select(F.col("b").alias("sid"), F.col("a").alias("other"))))
-        refused = _all(refusals).groupBy("sid").agg(F.collect_set("other").alias("refused"))
-        if members is None:
-            members = shared.join(ends, "sid", "left_semi").join(sets, "sid").select("tile", "sid", "n", "bits")
-        members = materialize(members.join(again, "tile", "left_semi"), "op3-members")
-        now = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left").join(refused, "sid", "left")
-        now = now.select("tile", "sid", "n", "bits", F.coalesce("label", "sid").alias("label"), "refused")
-        partners = 4 if not partners else partners * 4
-    return rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-
-
-def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (id, label) after edges (a, b) between labels."""
-    found = components(edges).select(F.col("id").alias("label"), F.col("label").alias("least"))
-    return materialize(labels.join(found, "label", "left").select("id", F.coalesce("least", "label").alias("label")), "op3-labels")
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tiles that several sets share; rows come sorted by tile and set."""
-    held = np.zeros((2, 0), np.int64)
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        if rows.shape[1]:
-            fresh = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
-            rows = rows[:, fresh]
-            edge = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-            rows = rows[:, np.repeat(np.diff(np.append(edge, rows.shape[1])) > 1, np.diff(np.append(edge, rows.shape[1])))]
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["tile", "sid"])
-
-    for batch in batches:
-        rows = np.hstack([held, np.array([batch.column(0).to_numpy(), batch.column(1).to_numpy()])])
-        if not rows.shape[1]:
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last tile may go on
-        yield out(rows[:, :cut])
-        held = rows[:, cut:]
-        if held.shape[1] > 1:  # of one tile: copies of a set are one row
-            held = held[:, np.concatenate(([True], held[1, 1:] != held[1, :-1]))]
-    yield out(held)
+        old, rest = members, state.labelled(members.drop("label"), "sid", "label").join(again, ["tile", "lo", "hi"], "left_semi")
+        members = materialize(rest.select(old.columns), "op3-members")
+        for x in (old, found, pairs):
+            discard(x)
+        partners *= 16
+    return state.labelled(rows.drop("bits"), "sid", "label")
+
+
+def _open_blocks(state: _Join, shared: DataFrame, block: int) -> DataFrame:
+    """Members of the tiles that hold several components, in pairs (lo, hi) of
+    blocks of about `block` members each."""
+    now = state.labelled(shared.select("tile", "sid"), "sid", "label")
+    several = now.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).filter("x < y").select("tile", F.ceil(F.col("c") / block).cast("long").alias("blocks"))
+    now = now.join(several, "tile").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    now = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    now = now.select("tile", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sid", "label")
+    return materialize(now.join(state.sets.select("sid", "n", "bits"), "sid").select("tile", "lo", "hi", "chunk", "sid", "n", "bits", "label"), "op3-members")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

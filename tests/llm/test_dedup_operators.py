@@ -161,3 +161,45 @@ def test_sketch_estimates(spark):
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.with_neighbours(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
+
+
+@pytest.mark.parametrize("copies", [6, 20])
+def test_jaccard_bridges_between_groups_of_near_copies(spark, copies, monkeypatch):
+    """Groups of near copies that only one text links, more of them than a set emits at first; and tiles cut into many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    r = random.Random(copies)
+    base = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" for i in range(200)]
+    swap = lambda w, k, tag: " ".join(f"{tag}{i}" if i in k else x for i, x in enumerate(w))
+    rows, far = [], set(range(100, 121))
+    for v in range(copies):
+        rows.append((100 + v, swap(base, {v}, f"b{v}-")))
+        rows.append((200 + v, swap(base, far | {30 + v}, "far-")))
+        rows.append((300 + v, swap(other, {r.randrange(200)}, f"o{v}-")))
+    rows.append((1, swap(base, set(range(100, 110)), "far-")))
+    for args in ((1, 9, 10), (1, 4, 5)):
+        t = spark.createDataFrame(rows, "doc_id long, text string")
+        assert of(jaccard_join.jaccard_components(t, *args), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows, *args), key=repr)
+
+
+def test_bitmaps_bound_overlaps_at_any_width():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n in (1, 40, 700, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], r.integers(0, 1 << 63, n).astype(np.uint64)]))
+        a, b = jaccard_join.bitmap(x), jaccard_join.bitmap(y)
+        width = min(len(a), len(b)) // 8
+        differ = int(np.bitwise_count(jaccard_join.folded(a, width) ^ jaccard_join.folded(b, width)).sum())
+        assert differ <= len(np.setxor1d(x, y)) and (jaccard_join.folded(b, 8) == jaccard_join.folded(jaccard_join.folded(b, width).tobytes(), 8)).all()
+
+
+def test_tiles_of_several_sets_are_found_across_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5), (2, 3), (2, 3), (2, 9), (2, 9), (2, 11), (3, 4), (4, 1), (4, 2), (5, 7), (5, 7)]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["tile", "sid"]) for i in range(0, len(rows), size)]
+        got = sorted(r for b in jaccard_join._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns)))
+        assert got == [(2, 3, 3), (2, 3, 9), (2, 3, 11), (4, 1, 1), (4, 1, 2)]
