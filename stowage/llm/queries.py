@@ -11,7 +11,7 @@ from .common import read_documents
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(read_documents(spark, sf_dir), length=400, with_text=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "longest_repeat")
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

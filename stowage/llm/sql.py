@@ -6,10 +6,14 @@ hashed as (select r, i, md5_number(substr(h, 2 * i + 1, 800)) as m from win),
 hit as (select r, i from (select r, i, count(*) over (partition by m) as c from hashed) where c > 1),
 edge as (select r, i, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end as e from hit),
 isl as (select r, min(i) as a, max(i) + 400 as b from (select r, i, sum(e) over (partition by r order by i) as k from edge) group by r, k),
+short_win as (select r, unnest(range(length(h) // 2 - 223)) as i, h from d where length(h) >= 448),
+short_hit as (select r, i from (select r, i, count(*) over (partition by m) as c from (select r, i, md5_number(substr(h, 2 * i + 1, 448)) as m from short_win)) where c > 1),
+short_edge as (select r, i, case when i - lag(i) over (partition by r order by i) <= 224 then 0 else 1 end as e from short_hit),
+short_isl as (select r, min(i) as a, max(i) + 224 as b from (select r, i, sum(e) over (partition by r order by i) as k from short_edge) group by r, k),
 kept as (select r, string_agg(part, '' order by a) as k from (
  select isl.r, a, substr(h, 2 * coalesce(lag(b) over (partition by isl.r order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by isl.r order by a), 0))) as part from isl join d on d.r = isl.r
  union all select isl.r, max(b) + 1, substr(any_value(h), 2 * max(b) + 1) from isl join d on d.r = isl.r group by 1) group by 1)
-select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(s.removed, 0)::bigint as n_removed, coalesce(s.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256 from d left join (select r, sum(b - a) as removed, count(*) as spans from isl group by 1) s on s.r = d.r left join kept on kept.r = d.r"""
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(s.removed, 0)::bigint as n_removed, coalesce(s.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256, coalesce(n.n, 0)::bigint as n_repeated, coalesce(n.longest, 0)::bigint as longest_repeat from d left join (select r, sum(b - a) as n, max(b - a) as longest from short_isl group by 1) n on n.r = d.r left join (select r, sum(b - a) as removed, count(*) as spans from isl group by 1) s on s.r = d.r left join kept on kept.r = d.r"""
 
 OP3 = r"""with recursive w as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w),
