@@ -28,6 +28,20 @@ def suffix_dedup(rows, length):
     return out
 
 
+def repeats(rows, least):
+    """(id, bytes covered by strings of `least` bytes that start elsewhere too, those of the longest run)."""
+    starts = Counter(b[i : i + least] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - least + 1))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        on = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            if starts[b[i : i + least]] > 1:
+                on[i : i + least] = b"\1" * least
+        out.append((d, sum(on), max(map(len, bytes(on).split(b"\0")), default=0)))
+    return out
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -96,3 +110,57 @@ def edited(rows):
         half = len(t) // 2
         out.append((d, t[: len(t) - half] + rows[(i + 1) % len(rows)][1][:half]))
     return out
+
+
+def lattice_paths(text, pieces, log=False):
+    """Probability of a byte string over its segmentations, and the expected
+    number of times that each piece is used, by plain sums over places."""
+    n, most = len(text), max(map(len, pieces))
+    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    arcs = [(i, j, pieces[text[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + most) + 1) if text[i:j] in pieces]
+    for i, j, p in arcs:
+        ahead[j] += ahead[i] * p
+    for i, j, p in reversed(arcs):
+        back[i] += p * back[j]
+    used = Counter()
+    for i, j, p in arcs:
+        used[text[i:j]] += ahead[i] * p * back[j] / ahead[n]
+    return ahead[n], used
+
+
+def lm_scores(rows, start, end):
+    """(score, lattice score) of each document by plain loops: one expectation
+    step over the training words from the probabilities `start`, then the lattice
+    and the learned words. end: the end's piece."""
+    train, texts = Counter(), 0
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 10:
+            train.update((t or "").encode().lower().split())
+            texts += 1
+    used = Counter({end: float(texts)})
+    for w, c in train.items():
+        for x, k in lattice_paths(b" " + w, start)[1].items():
+            used[x] += c * k
+    total = sum(used.values())
+    prior = min(10_000.0, max(total, 1.0))
+    p = {x: (used[x] + prior * q) / (total + prior) for x, q in start.items()}
+    n, v = sum(train.values()) + texts, max(1, len(train) + (texts > 0))
+    mixed = lambda c, q: math.log10((c + v * q) / (n + v))
+    out = {}
+    for d, t in rows:
+        q = [(train[w], lattice_paths(b" " + w, p)[0]) for w in (t or "").encode().lower().split()]
+        out[d] = (sum(mixed(c, x) for c, x in q) + mixed(texts, p[end]), sum(math.log10(x) for _, x in q) + math.log10(p[end]))
+    return out
+
+
+def licence_labels(text, notices, label, expression):
+    """Labels by notices that stand in the words, and of the expression behind
+    each tag, which are found by a plain search."""
+    low = (text or "").encode().lower()
+    words = " " + " ".join(w.decode("utf-8", "replace") for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    out = {name for phrase, name in notices.items() if f" {phrase} " in words}
+    flat = low.decode("utf-8", "replace")
+    for m in re.finditer(r"(?:spdx-license-identifier|license-expression|licen[cs]e):([^\n]*)", flat):
+        found = expression(m[1])
+        out |= {x for i in (found[0] if found else ()) if (x := label(i))}
+    return ",".join(sorted(out))

@@ -31,6 +31,39 @@ def test_suffix_dedup_periodic_and_random(spark):
         assert of(suffix_dedup.dedup(t, length, with_text=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup(rows, length), key=repr)
 
 
+@pytest.mark.parametrize(("least", "hot"), [(30, 20_000), (45, 1), (60, 20_000)])
+def test_repeats_shorter_than_what_is_removed(docs, rows, least, hot):
+    """Strings of `least` bytes are counted, those of 60 removed."""
+    out = suffix_dedup.dedup(docs, 60, hot, with_text=False, least=least)
+    assert of(out, "doc_id", "n_repeated", "longest_repeat") == sorted(brute.repeats([r[:2] for r in rows], least), key=repr)
+    assert of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup([r[:2] for r in rows], 60), key=repr)
+
+
+def test_suffix_order_and_range_minima():
+    import numpy as np
+
+    r = random.Random(8)
+    keys = ["".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(200)]
+    order, common = suffix_dedup.suffix_order(keys, 12)
+    got = [keys[i] for i in order]
+    prefix = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    assert got == sorted(keys) and common.tolist() == [0, *map(prefix, got, got[1:])]
+    least = suffix_dedup.RangeMinimum(common)
+    a = np.array([r.randrange(199) for _ in range(300)])
+    b = np.array([r.randint(x + 1, 200) for x in a.tolist()])
+    assert least.of(a, b).tolist() == [common[x:y].min() for x, y in zip(a, b)]
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    """One text of 3 MB that has a passage of another, and itself twice."""
+    r = random.Random(6)
+    half = "".join(r.choice("abcdefgh ") for _ in range(1_500_000))
+    passage = half[700_000:700_500]
+    t = spark.createDataFrame([(1, half + "#" + half), (2, "before~~" + passage + "~behind"), (3, "z" * 399)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(t, with_text=False).collect()}
+    assert got == {1: (3_000_001, 3_000_000, 2), 2: (515, 500, 1), 3: (399, 0, 0)}
+
+
 def test_suffix_dedup_repeated_rows_and_text(spark):
     a, b = "one two three " * 3 + "é" * 40, "unlike all else " * 2
     t = spark.createDataFrame([(1, a), (1, a), (None, b), (2, None)], "doc_id long, text string")
@@ -203,3 +236,28 @@ def test_tiles_of_several_sets_are_found_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["tile", "sid"]) for i in range(0, len(rows), size)]
         got = sorted(r for b in jaccard_join._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns)))
         assert got == [(2, 3, 3), (2, 3, 9), (2, 3, 11), (4, 1, 1), (4, 1, 2)]
+
+
+def test_fingerprints_of_repeated_and_null_ids_over_many_ranges(spark, monkeypatch):
+    """A third of the rows has one id, many have none; ranges are far smaller than these groups."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    monkeypatch.setattr(fingerprints, "COARSE", 8)
+    r = random.Random(2)
+    say = lambda i: " ".join(r.choice("one two three four five six".split()) for _ in range(r.randint(0, 30))) + f" {i}"
+    rows = [(7, say(i)) for i in range(120)] + [(r.randrange(-500, 500), say(i)) for i in range(150)] + [(None, say(i)) for i in range(60)] + [(7, "the same"), (7, "the same"), (None, None), (9000, "x")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    part, _ = fingerprints.ranges_of(t.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert t.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").select(part.alias("p")).distinct().count() > 15
+    keyed = t.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(x.doc_id, x.text) for x in sorted(keyed, key=lambda x: (x.doc_id is None, -(x.doc_id or 0), x.h, x.text))]
+    want = sorted(((d, len(x), hashlib.sha256(e.encode()).hexdigest()) for (d, x), (_, e) in zip(order, brute.edited(order))), key=repr)
+    assert of(fingerprints.with_neighbours(t), "doc_id", "n_chars", "edited_sha256") == want
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    r = random.Random(3)
+    rows = [(" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(0, 9))), " ".join(f"w{r.randrange(40)}" for _ in range(r.randint(0, 9)))) for _ in range(150)]
+    t = spark.createDataFrame(rows, "a string, b string").select(*(fingerprints.sketch(F.col(c), 1).alias(c) for c in "ab"), fingerprints.sketch(F.concat_ws(" ", "a", "b"), 1).alias("c"))
+    assert t.filter(fingerprints.merge(F.col("a"), F.col("b")) != F.col("c")).count() == 0
+    low, high = t.select(F.min(fingerprints.containment(F.col("a"), F.col("c"))), F.max(fingerprints.containment(F.col("a"), F.col("b")))).first()
+    assert 0 <= low and high <= 1
