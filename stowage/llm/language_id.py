@@ -94,15 +94,21 @@ class Model:
         return langs[best], sure
 
 
-def families_of(profiles: np.ndarray, link: float) -> list[list[int]]:
-    """Average-linkage clusters of profiles while their cosine is over `link`,
+def families_of(profiles: np.ndarray, link: float | None = None) -> list[list[int]]:
+    """Average-linkage clusters of profiles: the closest are joined until about
+    the square root of their number is left, none of more than twice that and
+    two. So languages that are close stand in one family however far the families
+    are apart. With `link`, they are joined while their cosine is over it instead,
     with at least two families left if there are two languages."""
-    groups = [[i] for i in range(len(profiles))]
-    sums, sizes = (profiles @ profiles.T).astype(np.float64), np.ones(len(profiles))
-    while len(groups) > 2:
-        means = np.where(np.tri(len(groups), k=-1, dtype=bool), sums / np.outer(sizes, sizes), -np.inf)
+    n = len(profiles)
+    left, largest = (max(1, round(n**0.5)), 2 * round(n**0.5) + 2) if link is None else (2, n)
+    groups = [[i] for i in range(n)]
+    sums, sizes = (profiles @ profiles.T).astype(np.float64), np.ones(n)
+    while len(groups) > left:
+        free = np.tri(len(groups), k=-1, dtype=bool) & (sizes[:, None] + sizes <= largest)
+        means = np.where(free, sums / np.outer(sizes, sizes), -np.inf)
         a, b = divmod(int(means.argmax()), len(groups))
-        if means[a, b] < link:
+        if means[a, b] == -np.inf or (link is not None and means[a, b] < link):
             break
         groups[b] += groups.pop(a)
         sums[b] += sums[a]
@@ -112,12 +118,12 @@ def families_of(profiles: np.ndarray, link: float) -> list[list[int]]:
     return groups
 
 
-def fit(rows: list[tuple[bytes, str]], link: float = 0.5) -> Model:
+def fit(rows: list[tuple[bytes, str]], link: float | None = None) -> Model:
     """rows: (text, language)."""
     return fit_features([(x, lang) for raw, lang in rows if (x := features(raw)) is not None], link)
 
 
-def fit_features(seen: list[tuple[np.ndarray, str]], link: float = 0.5) -> Model:
+def fit_features(seen: list[tuple[np.ndarray, str]], link: float | None = None) -> Model:
     """seen: (features, language)."""
     langs = sorted({lang for _, lang in seen})
     if not langs:
@@ -148,17 +154,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample_of(docs: DataFrame, per_lang: int, rows: int) -> list[tuple[np.ndarray, str]]:
     """Bounded training rows (features, language): of the documents whose
-    remainder isn't 2 with a language, those with the smallest hashes, per_lang
+    remainder isn't 2 with a language, the texts with the smallest hashes, per_lang
     of each language, fewer (4 at least) where there are so many languages that
     it would be over `rows`. Every language is learned; texts are read whole, on
     the executors."""
     labelled = docs.filter((crc_mod_col(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count("*").alias("c"))
     per_lang = min(per_lang, max(4, rows // max(1, counts.count())))
-    h = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang-sample")), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    h = (F.pmod(F.xxhash64(F.col("text"), F.lit("lang-sample")), F.lit(1 << 30)) / float(1 << 30)).alias("u")
     want = counts.select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_lang + 30.0) / F.col("c")).alias("want"))
     raw = F.col("text").cast("binary")
     picked = labelled.select("lang", h, raw.alias("raw"), F.md5(raw).alias("key")).join(F.broadcast(want), "lang").filter("u < want")
+    picked = picked.dropDuplicates(["lang", "u", "key"])  # however often a text stands there, it is one
     first = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))).filter(F.col("r") <= per_lang)
     out = []
     for r in sorted(first.select("lang", "u", "key", "raw").mapInArrow(_features, "lang string, u double, key string, at binary, x binary").collect(), key=lambda r: (r.lang, r.u, r.key)):
