@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, column, crc_mod_col, discard, materialize, words
 
 HEAD = 100_000
+#: Words longer than this in bytes are worked on in blocks, and never broadcast.
+LONG = 2048
+SHORT = 64
 END = b"</text>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,7 +123,8 @@ class Lattice:
         ahead of each; so many at once that the arrays stay small."""
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words_):
-            by.setdefault(len(w), []).append(i)
+            if len(w) <= LONG:
+                by.setdefault(len(w), []).append(i)
         for n, at in sorted(by.items()):
             step = max(1, 400_000 // ((n + 1) * min(self.most, n + 1)))
             for a in range(0, len(at), step):
@@ -129,11 +133,45 @@ class Lattice:
                 piece = self._find(m)
                 yield np.array(own), piece, np.where(piece >= 0, self.values[piece], -np.inf)
 
+    def _blocks(self, word: bytes, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """A long word, a space ahead, in blocks of starts a..b: the pieces and
+        scores of each. Memory is that of a block, whatever the word's length."""
+        text = np.frombuffer(b" " + word, np.uint8)
+        starts = range(0, len(text), LONG)
+        for a in reversed(starts) if back else starts:
+            b = min(a + LONG, len(text))
+            piece = self._find(text[None, a : b + self.most].astype(np.uint64))[0, :, : b - a]
+            yield a, b, piece, np.where(piece >= 0, self.values[piece], -np.inf)
+
+    def _long_forward(self, word: bytes) -> np.ndarray:
+        f = np.full(len(word) + 2, -np.inf)
+        f[0] = 0.0
+        for a, b, _, s in self._blocks(word):
+            for i in range(a, b):
+                to = f[i + 1 : i + 1 + len(s)]
+                np.logaddexp(to, f[i] + s[: len(to), i - a], out=to)
+        return f
+
+    def _long_expected(self, word: bytes, count: float, out: np.ndarray) -> None:
+        f = self._long_forward(word)
+        back = np.full(len(f), -np.inf)
+        back[-1] = 0.0
+        for a, b, piece, s in self._blocks(word, back=True):
+            for i in range(b - 1, a - 1, -1):
+                to = back[i + 1 : i + 1 + len(s)]
+                back[i] = np.logaddexp.reduce(to + s[: len(to), i - a])
+            k, i = np.nonzero(piece >= 0)
+            p = np.exp(f[a + i] + s[k, i] + back[a + i + k + 1] - f[-1]) * count
+            out += np.bincount(piece[k, i], weights=p, minlength=len(out))
+
     def log_probabilities(self, words_: list[bytes]) -> np.ndarray:
         """Marginal log10 probability of each word over its segmentations."""
         out = np.zeros(len(words_))
         for own, _, s in self._groups(words_):
             out[own] = self._forward(s)[:, -1] / math.log(10)
+        for i, w in enumerate(words_):
+            if len(w) > LONG:
+                out[i] = self._long_forward(w)[-1] / math.log(10)
         return out
 
     def expected(self, words_: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -144,6 +182,9 @@ class Lattice:
             r, k, i = np.nonzero(piece >= 0)
             p = np.exp(f[r, i] + s[r, k, i] + b[r, i + k + 1] - f[r, -1]) * counts[own][r]
             out += np.bincount(piece[r, k, i], weights=p, minlength=len(out))
+        for w, c in zip(words_, counts):
+            if len(w) > LONG:
+                self._long_expected(w, float(c), out)
         return out
 
 
@@ -184,7 +225,7 @@ def _word_scores(lattice: Lattice, n: int, v: int):
         for batch in batches:
             x = lattice.log_probabilities(batch.column("word").to_pylist())
             s = mixture(batch.column("c").to_numpy(), x, n, v)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), pa.array(s)], names=["word", "c", "total", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), pa.array(s), pa.array(x)], names=["word", "c", "total", "score", "pieces"])
 
     return run
 
@@ -193,12 +234,12 @@ def _texts(head, n: int, v: int):
     """Sums over the words of the head; the other words as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, float]] = head.value
+        known: dict[bytes, tuple[int, float, float]] = head.value
         low = math.log10(n + 0.1 * (v + 1)) if n or v else math.log10(0.1)
         for batch in batches:
             rows = []
             for raw in batch.column("raw"):
-                base = lattice = 0.0
+                base = lattice = pieces = 0.0
                 hits, tail = 0, []
                 count = Counter(words(raw.as_py()))
                 for w in sorted(count):
@@ -208,22 +249,25 @@ def _texts(head, n: int, v: int):
                         continue
                     base += k * (math.log10(x[0] + 0.1) - low)
                     lattice += k * x[1]
+                    pieces += k * x[2]
                     hits += k * (x[0] > 0)
-                rows.append((sum(count.values()), hits, base, lattice, tail))
-            c = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, t) for x, t in zip(c, kinds))], names=["uid", "doc_id", "held_out", "tokens", "known", "base", "lattice", "tail"])
+                rows.append((sum(count.values()), hits, base, lattice, pieces, tail))
+            c = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, t) for x, t in zip(c, kinds))], names=["uid", "doc_id", "held_out", "tokens", "known", "base", "lattice", "pieces", "tail"])
 
     return run
 
 
 def score(docs: DataFrame, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score (log10 of the marginal probability).
+    base_score, score (log10 of the marginal probability, learned words being
+    arcs of the lattice too), lattice_score (the same without them: the
+    vocabulary's pieces alone).
 
     Counts are over all documents whose crc32(doc_id as text) mod 10 is not 0;
     all are scored. Null and empty texts are one end; very long words are
-    lattices like any other; rows that repeat an id count and are scored each;
+    lattices like any other, worked on in blocks; rows that repeat an id count and are scored each;
     a null id counts as empty text in the crc; extra columns are ignored; an
     empty table gives an empty result. vocabulary: a sentencepiece file; head:
     most words that are broadcast.
@@ -245,17 +289,23 @@ def score(docs: DataFrame, vocabulary: str | None = None, head: int = HEAD) -> D
     total = sum(x.values())
     prior = min(10_000.0, max(total, 1.0))
     lattice = Lattice({b: math.log((x.get(b, 0.0) + prior * math.exp(s)) / (total + prior)) for b, s in start.score.items()})
-    end = float(mixture(np.array([texts]), np.array([lattice.score[END] / math.log(10)]), n, v)[0])
-    scored = materialize(table.mapInArrow(_word_scores(lattice, n, v), "word binary, c long, total long, score double"), "op5-scores")
+    end_pieces = lattice.score[END] / math.log(10)
+    end = float(mixture(np.array([texts]), np.array([end_pieces]), n, v)[0])
+    scored = materialize(table.mapInArrow(_word_scores(lattice, n, v), "word binary, c long, total long, score double, pieces double"), "op5-scores")
     discard(table)
-    top = scored.orderBy(F.desc("total"), "word").limit(head).collect()
-    known = spark.sparkContext.broadcast({bytes(r.word): (r.c, r.score) for r in top})
-    parts = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "raw").mapInArrow(_texts(known, n, v), "uid long, doc_id long, held_out boolean, tokens long, known long, base double, lattice double, tail array<struct<w: binary, k: long>>")
+    # the head is bounded in words and in bytes; written first, so that it alone comes to the driver
+    top = materialize(scored.filter(F.length("word") <= SHORT).orderBy(F.desc("total"), "word").limit(head), "op5-head")
+    known = spark.sparkContext.broadcast({bytes(r.word): (r.c, r.score, r.pieces) for r in top.collect()})
+    discard(top)
+    parts = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "raw").mapInArrow(_texts(known, n, v), "uid long, doc_id long, held_out boolean, tokens long, known long, base double, lattice double, pieces double, tail array<struct<w: binary, k: long>>")
     parts = materialize(parts, "op5-texts")
     low = math.log10(n + 0.1 * (v + 1))
     tail = parts.select("uid", F.explode("tail").alias("t")).select("uid", F.col("t.w").alias("word"), F.col("t.k").alias("k")).join(scored, "word")
-    tail = tail.groupBy("uid").agg(F.sum(F.col("k") * (F.log10(F.col("c") + 0.1) - low)).alias("b"), F.sum(F.col("k") * F.col("score")).alias("l"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("h"))
-    out = parts.drop("tail").join(tail, "uid", "left")
+    sums = [F.sum(F.col("k") * (F.log10(F.col("c") + 0.1) - low)).alias("b"), F.sum(F.col("k") * F.col("score")).alias("l"), F.sum(F.col("k") * F.col("pieces")).alias("p"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("h")]
+    out = parts.drop("tail").join(tail.groupBy("uid").agg(*sums), "uid", "left")
     end_base = math.log10(texts + 0.1) - low
     or0 = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + or0("h") + (1 if texts else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + or0("b") + end_base).alias("base_score"), (F.col("lattice") + or0("l") + end).alias("score"))
+    return out.select(
+        "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + or0("h") + (1 if texts else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + or0("b") + end_base).alias("base_score"), (F.col("lattice") + or0("l") + end).alias("score"), (F.col("pieces") + or0("p") + end_pieces).alias("lattice_score"),
+    )
