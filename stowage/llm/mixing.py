@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, documents, materialize
+from .common import WORD_PATTERN, discard, documents, materialize
 
 BITS = 12
 LEVELS = 5
@@ -46,55 +46,71 @@ def _digit(level: int) -> Column:
     return F.shiftright("h", BITS * (LEVELS - 1 - level)).bitwiseAND((1 << BITS) - 1)
 
 
+def plan_of(sums: DataFrame, share: float, most: float, weights: tuple) -> DataFrame:
+    """targets() over a table of sources (source, n): adds target. The sources in
+    the order of size by weight are those that stop, up to one; from there on
+    all have the same share of their weight. Windows go over one row a source."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights) + 1).cast("int"))
+    t = sums.withColumn("w", w)
+    by = Window.orderBy("ratio", F.asc_nulls_last("source"))
+    live = t.filter("n > 0").withColumn("ratio", F.lit(float(most)) * F.col("n") / F.col("w")).withColumn("p", F.row_number().over(by))
+    stopped = F.coalesce(F.sum(F.lit(float(most)) * F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    budget = F.lit(float(share)) * F.sum("n").over(Window.partitionBy())
+    live = live.withColumn("level", (budget - stopped) / F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
+    cut = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("p", "level"))).over(Window.partitionBy())
+    live = live.withColumn("cut", cut).withColumn("target", F.when(F.col("p") >= F.col("cut.p"), F.col("w") * F.col("cut.level")).otherwise(F.lit(float(most)) * F.col("n")))
+    return live.select("source", "n", "target").unionByName(t.filter("n = 0").select("source", "n", F.lit(0.0).alias("target")))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """The columns of documents, and size, source_size, target, copies (times
     the mix takes the document, 0 to `most` rounded up), taken (its words).
 
-    Sources are few (a row each comes to the driver, 64 bytes or so; texts never
-    do). Of the boundary bucket documents are taken up to the last whose words
-    bring the source nearer its target. Null texts have size 0; null sources are
-    one source, the last; rows that repeat an id and text share a hash and are
-    taken together; extra columns are ignored; an empty table gives an empty
+    Sources may be many: the plan is a table of one row a source, which is
+    joined; nothing of it comes to the driver. Of the boundary bucket documents
+    are taken up to the last whose words bring the source nearer its target.
+    Null texts have size 0; null sources are one source, the last; rows that
+    repeat an id and text share a hash and are taken together; ties of hashes at
+    the boundary are taken together or not at all, whichever is nearer; very long
+    texts count whole; extra columns are ignored; an empty table gives an empty
     result; sources without words have target 0.
     """
-    spark = docs.sparkSession
     docs = documents(docs)
     # 60 bits of a hash that SQL has too
     name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256))
     h = F.conv(F.substring(F.md5(name), 1, BITS * LEVELS // 4), 16, 10).cast("long")
     measured = docs.select("*", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), h.alias("h"))
     slim = materialize(measured.select("source", "size", "h"), "op6-sizes")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row per source
-    plan = targets(sorted([(r.source, r["size"]) for r in sums], key=lambda x: (x[0] is None, x[0] or "")), share, most, weights)
-    # (source, full rounds, words of the last round still to find, prefix of the hash)
-    need = {}
-    for source, n, target in plan:
-        rounds = int(target // n) if n else 0
-        need[source] = [n, target, rounds, target - rounds * n, 0]
-    done: dict = {s: v[3] < 1e-9 for s, v in need.items()}
-    kinds = "source string, prefix long"
+    sums = slim.groupBy("source").agg(F.sum("size").cast("long").alias("n"))
+    # full rounds, words of the last round still to find (goal), prefix of the hash
+    rounds = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(0).cast("long")
+    plan = plan_of(sums, share, most, weights).withColumn("rounds", rounds).withColumn("goal", F.col("target") - F.col("rounds") * F.col("n"))
+    plan = materialize(plan.select("source", "n", "target", "rounds", "goal", F.lit(0).cast("long").alias("prefix"), (F.col("goal") < 1e-9).alias("done")), "op6-plan")
     for level in range(LEVELS):
-        open_ = [(s, v[4]) for s, v in need.items() if not done[s]]
-        if not open_:
+        open_ = plan.filter("not done").select(F.col("source").alias("s"), "goal", "prefix")
+        if open_.isEmpty():
             break
-        at = F.broadcast(spark.createDataFrame(open_, kinds))
-        rows = slim.join(at.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        rows = slim.join(open_, F.col("source").eqNullSafe(F.col("s")))
         if level:
             rows = rows.filter(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
-        histogram = rows.groupBy("source", _digit(level).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("c"))
-        running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
-        goal = F.broadcast(spark.createDataFrame([(s, float(need[s][3])) for s, _ in open_], "s string, goal double"))
+        histogram = rows.groupBy("source", "goal", _digit(level).alias("bucket")).agg(F.sum("size").alias("b"), F.count("*").alias("c"))
+        running = histogram.withColumn("upto", F.sum("b").over(Window.partitionBy("source").orderBy("bucket")))
         # the bucket in which the goal is reached: one row a source
-        bound = running.join(goal, F.col("source").eqNullSafe(F.col("s"))).filter("upto > goal and upto - n <= goal").groupBy("source").agg(F.min(F.struct("bucket", "n", "c", "upto")).alias("b"))
-        for r in bound.collect():
-            v = need[r.source]
-            v[3] -= r.b.upto - r.b.n
-            v[4] = (v[4] << BITS) + r.b.bucket
-            if r.b.c == 1 or level == LEVELS - 1:  # what is left shares a hash: take it if that is nearer
-                v[4] = (v[4] + (2 * v[3] >= r.b.n)) << BITS * (LEVELS - 1 - level)
-                done[r.source] = True
-    parts = [(s, n, float(target), rounds, int(prefix)) for s, (n, target, rounds, _, prefix) in need.items()]
-    chosen = F.broadcast(spark.createDataFrame(parts, "s string, source_size long, target double, rounds long, below long"))
+        bound = running.filter("upto > goal and upto - b <= goal").groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bucket", "b", "c", "upto")).alias("f"))
+        left = F.col("goal") - (F.col("f.upto") - F.col("f.b"))
+        prefix = F.col("prefix") * (1 << BITS) + F.col("f.bucket")
+        # what is left shares a hash: it is taken if that is nearer
+        last = (F.col("f.c") == 1) | F.lit(level == LEVELS - 1)
+        ends = (prefix + F.when(2 * left >= F.col("f.b"), 1).otherwise(0)) * (1 << BITS * (LEVELS - 1 - level))
+        found = F.col("f").isNotNull() & ~F.col("done")
+        old = plan
+        moved = old.join(bound, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            "source", "n", "target", "rounds", F.when(found, left).otherwise(F.col("goal")).alias("goal"),
+            F.when(found & last, ends).when(found, prefix).otherwise(F.col("prefix")).alias("prefix"), (F.col("done") | ~found | last).alias("done"),
+        )
+        plan = materialize(moved, "op6-plan")
+        discard(old)
+    chosen = plan.select(F.col("source").alias("s"), F.col("n").alias("source_size"), "target", "rounds", F.col("prefix").alias("below"))
     out = measured.join(chosen, F.col("source").eqNullSafe(F.col("s")))
     copies = F.col("rounds") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(int(-(-most // 1)))))
