@@ -2,10 +2,13 @@
 
 Two classifiers see different views of a document: its text (words present,
 shape of the writing) and its metadata (source, language, length). Over rounds
-each labels the documents of an unlabelled pool of which it is sure, and these
-train the other. Both are calibrated on labelled documents that neither has
-trained on, and their log odds are combined. The same is done for toxicity,
-which a document of good quality may have; clean documents pass both.
+each goes over all unlabelled documents, and those of which it is surest train
+the other. Both are calibrated on labelled documents that neither has trained
+on, and their log odds are combined on others again. The same is done for
+toxicity, which a document of good quality may have; clean documents pass both.
+
+The views of all documents are made once, as a table of feature numbers; the
+rounds and the final scoring read that.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod_col, documents
+from .common import column, crc_mod_col, discard, documents, materialize
 
 DIM = 1 << 18
 RESERVED = 256
@@ -120,6 +123,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def logits(w: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    """logit_of() of many views as they are stored: never empty, 32-bit numbers."""
+    if not packed:
+        return np.zeros(0)
+    ends = np.cumsum([len(x) // 4 for x in packed])
+    return np.add.reduceat(w[np.frombuffer(b"".join(packed), np.int32)], np.append(0, ends[:-1])) + w[DIM]
+
+
 @dataclass
 class CoModel:
     text: np.ndarray
@@ -128,67 +139,147 @@ class CoModel:
     meta_cal: np.ndarray
     both: np.ndarray
 
-    def prob(self, t: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
-        a, b = logit_of(self.text, t), logit_of(self.meta, m)
+    def prob(self, t: list[bytes], m: list[bytes]) -> np.ndarray:
+        a, b = logits(self.text, t), logits(self.meta, m)
         a, b = self.text_cal[0] * a + self.text_cal[1], self.meta_cal[0] * b + self.meta_cal[1]
         return sigmoid(self.both[0] * a + self.both[1] * b + self.both[2])
 
 
-def co_train(text: list, meta: list, y: np.ndarray, pool_text: list, pool_meta: list, rounds: int = 3, each: int = 200, sure: float = 0.95) -> CoModel | None:
-    """None if there are not both labels."""
-    if len(set(y.tolist())) < 2:
-        return None
-    fold = np.arange(len(y)) % 4 == 3
-    if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
-        fold = np.zeros(len(y), bool)
-    tr, ca = np.flatnonzero(~fold), np.flatnonzero(fold) if fold.any() else np.arange(len(y))
-    given = {"text": {}, "meta": {}}  # pool index: pseudo-label that the view has been given
-    models, cals = {}, {}
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    for round_ in range(rounds + 1):
-        for name, (own, pool) in views.items():
-            extra = list(given[name].items())
-            x = [own[i] for i in tr] + [pool[i] for i, _ in extra]
-            yy = np.concatenate((y[tr], np.array([v for _, v in extra], int)))
-            models[name] = train(x, yy, np.concatenate((np.ones(len(tr)), np.full(len(extra), 0.5))))
-            cals[name] = calibrate(logit_of(models[name], [own[i] for i in ca]), y[ca])
-        if round_ == rounds or not pool_text:
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(cals[name][0] * logit_of(models[name], views[name][1]) + cals[name][1])
-            for side, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                taken = [i for i in order[: 4 * each].tolist() if (p[i] if side else 1 - p[i]) >= sure and i not in given[other]][:each]
-                given[other].update(dict.fromkeys(taken, side))
-    z = np.array([cals[k][0] * logit_of(models[k], [views[k][0][i] for i in ca]) + cals[k][1] for k in ("text", "meta")])
-    return CoModel(models["text"], models["meta"], cals["text"], cals["meta"], calibrate(z, y[ca]))
+class CoTraining:
+    """Two views of labelled rows, and what each has been given by the other. Of
+    four rows three train and one calibrates while the rounds go on; at the end
+    all train, and calibration goes by logits of models that haven't seen a row:
+    the views' on one half of the rows, their combination's on the other."""
+
+    def __init__(self, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray):
+        self.own, self.y = {"text": text, "meta": meta}, y
+        self.given: dict[str, dict[tuple, tuple[np.ndarray, int]]] = {"text": {}, "meta": {}}
+        self.models: dict[str, np.ndarray] = {}
+        self.cals: dict[str, np.ndarray] = {}
+
+    def _both(self, on: np.ndarray) -> np.ndarray:
+        """These rows if they have both labels, else all."""
+        return on if len(set(self.y[on].tolist())) == 2 else np.arange(len(self.y))
+
+    def _train(self, name: str, on: np.ndarray) -> np.ndarray:
+        extra = [self.given[name][k] for k in sorted(self.given[name])]
+        x = [self.own[name][i] for i in on] + [f for f, _ in extra]
+        y = np.concatenate((self.y[on], np.array([side for _, side in extra], int)))
+        return train(x, y, np.concatenate((np.ones(len(on)), np.full(len(extra), 0.5))))
+
+    def learn(self) -> None:
+        part = np.arange(len(self.y)) % 4
+        for name, own in self.own.items():
+            self.models[name] = self._train(name, self._both(np.flatnonzero(part != 3)))
+            on = self._both(np.flatnonzero(part == 3))
+            self.cals[name] = calibrate(logit_of(self.models[name], [own[i] for i in on]), self.y[on])
+
+    def give(self, name: str, side: int, found: list[tuple], each: int) -> None:
+        """The surest documents of view `name`, (key, text, meta) in order, to
+        the other view; `each` of them that it hasn't got yet."""
+        other = "meta" if name == "text" else "text"
+        fresh = [x for x in found if x[0] not in self.given[other]][:each]
+        self.given[other].update({key: (t if other == "text" else m, side) for key, t, m in fresh})
+
+    def combined(self) -> CoModel:
+        part = np.arange(len(self.y)) % 4
+        one, other = (self._both(np.flatnonzero(part // 2 == h)) for h in (0, 1))
+        z = {}
+        for name, own in self.own.items():
+            unseen = np.zeros(len(self.y))
+            for fold in range(4):
+                w = self._train(name, self._both(np.flatnonzero(part != fold)))
+                on = np.flatnonzero(part == fold)
+                unseen[on] = logit_of(w, [own[i] for i in on])
+            self.models[name] = self._train(name, np.arange(len(self.y)))
+            self.cals[name] = calibrate(unseen[one], self.y[one])
+            z[name] = self.cals[name][0] * unseen[other] + self.cals[name][1]
+        return CoModel(self.models["text"], self.models["meta"], self.cals["text"], self.cals["meta"], calibrate(np.array([z["text"], z["meta"]]), self.y[other]))
+
+
+_VIEWS = "doc_id long, held_out boolean, u long, t binary, m binary"
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        t = [text_view(x) for x in batch.column("text").to_pylist()]
-        m = [meta_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("quality"), batch.column("toxic"), pa.array(t, pa.list_(pa.int64())), pa.array(m, pa.list_(pa.int64()))], names=["u", "quality", "toxic", "t", "m"])
+        t = [text_view(x.as_py()).astype(np.int32).tobytes() for x in batch.column("text")]
+        m = [meta_view(*x).astype(np.int32).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("u"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "held_out", "u", "t", "m"])
+
+
+def views_of(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, u (a hash of the whole row), t and m (its views) of every
+    row of documents."""
+    u = F.xxhash64(*[F.col(c) for c in docs.columns]).alias("u")
+    return docs.select("doc_id", (crc_mod_col(10) == 0).alias("held_out"), u, "text", "source", "lang", "n_chars").mapInArrow(_views, _VIEWS)
+
+
+def _surest(asks, sure: float, most: int):
+    """Of each batch and each (number, view): the rows that the view is surest
+    of, on either side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = {"text": batch.column("t").to_pylist(), "meta": batch.column("m").to_pylist()}
+            for number, (name, w, cal) in asks.value.items():
+                p = sigmoid(cal[0] * logits(w, packed[name]) + cal[1])
+                for side, x in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(x >= sure)
+                    at = at[np.argsort(-x[at], kind="stable")[:most]] if len(at) > most else at
+                    own = batch.select(["doc_id", "u"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(np.full(len(at), side, np.int32)), *own.columns, pa.array(x[at])], names=["number", "side", "doc_id", "u", "p"])
+
+    return run
+
+
+def _bounded(views: DataFrame, chosen: DataFrame) -> list:
+    """The rows of views that `chosen` names by doc_id and u, a bounded number, each
+    once however often it is repeated; with the columns of chosen."""
+    return views.select("doc_id", "u", "t", "m").join(F.broadcast(chosen), ["doc_id", "u"]).dropDuplicates(chosen.columns).collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, pool: int = 2000) -> tuple[CoModel | None, CoModel | None]:
-    """Models of quality and toxicity. `most` bounds the labelled documents used
-    (those with the smallest hashes of ids whose crc32 mod 10 is not 0), `pool`
-    the unlabelled ones; both are what comes to the driver."""
+def _array(x) -> np.ndarray:
+    return np.frombuffer(bytes(x), np.int32).astype(np.int64)
+
+
+def fit(views: DataFrame, labels: DataFrame, most: int = 6000, rounds: int = 3, each: int = 200, sure: float = 0.95) -> tuple[CoModel | None, CoModel | None]:
+    """Models of quality and toxicity, None where there are not both labels.
+
+    `most` bounds the labelled rows that are fit on (those with the smallest
+    hashes, of ids whose crc32 mod 10 is not 0). In each round each view goes
+    over all documents without a label and gives the other view the `each`
+    surest of either side that it hasn't got yet, if it is `sure` of them."""
+    spark = views.sparkSession
     marks = labels.select(column(labels, "doc_id", "bigint"), column(labels, "quality", "int"), column(labels, "toxic", "int")).filter("doc_id is not null and (quality is not null or toxic is not null)")
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("quality-sample")), F.lit(1 << 40))
-    ids = docs.select("doc_id").filter((crc_mod_col(10) != 0) & F.col("doc_id").isNotNull()).distinct().join(marks.withColumn("marked", F.lit(True)), "doc_id", "left").withColumn("u", u)
-    chosen = ids.filter("marked").orderBy("u").limit(most).unionByName(ids.filter("marked is null").orderBy("u").limit(pool))
-    rows = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("d"), "quality", "toxic", "u")), F.col("doc_id") == F.col("d"))
-    got = rows.select("u", "quality", "toxic", "text", "source", "lang", "n_chars").mapInArrow(_views, "u long, quality int, toxic int, t array<long>, m array<long>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["u"], r["t"]))
-    for r in got:
-        r["t"], r["m"] = np.array(r["t"], np.int64), np.array(r["m"], np.int64)
-    free = [r for r in got if r["quality"] is None and r["toxic"] is None][: 2 * pool]
-    out = []
+    usable = views.filter("not held_out and doc_id is not null")
+    order = F.pmod(F.xxhash64("doc_id", F.lit("quality-sample")), F.lit(1 << 40))
+    chosen = usable.select("doc_id", "u").distinct().join(marks, "doc_id").withColumn("o", order).orderBy("o", "doc_id", "u").limit(most)
+    own = sorted(_bounded(views, materialize(chosen, "op7-labelled")), key=lambda r: (r.o, r.doc_id, r.u))
+    both = []
     for name in ("quality", "toxic"):
-        own = [r for r in got if r[name] is not None][: 2 * most]
-        out.append(co_train([r["t"] for r in own], [r["m"] for r in own], np.array([int(r[name] > 0) for r in own], int), [r["t"] for r in free], [r["m"] for r in free]))
+        rows = [r for r in own if r[name] is not None]
+        y = np.array([int(r[name] > 0) for r in rows], int)
+        both.append(CoTraining([_array(r.t) for r in rows], [_array(r.m) for r in rows], y) if len(set(y.tolist())) == 2 else None)
+    for _ in range(rounds if any(both) else 0):
+        asks = {}
+        for i, c in enumerate(both):
+            if c:
+                c.learn()
+                asks |= {2 * i + j: (name, c.models[name], c.cals[name]) for j, name in enumerate(("text", "meta"))}
+        limit = each * (rounds + 1)
+        found = usable.select("doc_id", "u", "t", "m").mapInArrow(_surest(spark.sparkContext.broadcast(asks), sure, limit), "number int, side int, doc_id long, u long, p double")
+        found = found.join(marks.select("doc_id"), "doc_id", "left_anti").distinct()
+        best = Window.partitionBy("number", "side").orderBy(F.desc("p"), "u", "doc_id")
+        top = materialize(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= limit), "op7-surest")
+        got = sorted(_bounded(views, top), key=lambda r: (r.number, r.side, r.r))
+        discard(top)
+        for number, (name, _, _) in asks.items():
+            for side in (1, 0):
+                both[number // 2].give(name, side, [((r.doc_id, r.u), _array(r.t), _array(r.m)) for r in got if (r.number, r.side) == (number, side)], each)
+    out = []
+    for c in both:
+        out.append(c.combined() if c else None)
     return out[0], out[1]
 
 
@@ -196,8 +287,7 @@ def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, toxic = models.value
         for batch in batches:
-            t = [text_view(x) for x in batch.column("text").to_pylist()]
-            m = [meta_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
+            t, m = batch.column("t").to_pylist(), batch.column("m").to_pylist()
             q = good.prob(t, m) if good else np.full(len(t), 0.5)
             x = toxic.prob(t, m) if toxic else np.zeros(len(t))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(q), pa.array(x), pa.array(q * (1 - x)), pa.array((q >= 0.5) & (x < 0.5))], names=["doc_id", "held_out", "quality", "toxic", "score", "keep"])
@@ -213,10 +303,10 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Null texts are empty, null metadata are values of their own; labels of one
     document that differ count as bad and toxic; labels of unknown documents
     are ignored; without both labels quality is 0.5 and toxic 0; whole texts
-    are read; rows that repeat an id are scored each; null ids are kept; extra
+    are read; rows that repeat an id are scored each, equal ones are learned
+    from once; ties of sureness go by a hash of the row; null ids are kept; extra
     columns are ignored; an empty table gives an empty result.
     """
-    docs = documents(docs)
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
-    rows = docs.withColumn("held_out", crc_mod_col(10) == 0)
-    return rows.mapInArrow(_score(models), "doc_id long, held_out boolean, quality double, toxic double, score double, keep boolean")
+    views = materialize(views_of(documents(docs)), "op7-views")
+    models = docs.sparkSession.sparkContext.broadcast(fit(views, labels, **options))
+    return views.select("doc_id", "held_out", "t", "m").mapInArrow(_score(models), "doc_id long, held_out boolean, quality double, toxic double, score double, keep boolean")
