@@ -18,23 +18,52 @@ from .common import bytes_of, column
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Further notice phrases of the method, as words, and their labels.
+#: Further notice phrases of the method, as words, and their labels.
 NOTICES = {
     "permission is hereby granted free of charge": "mit",
+    "the software is provided as is without warranty of any kind": "mit",
     "licensed under the apache": "apache",
+    "apache software foundation license": "apache",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms": "bsd",
     "bsd license": "bsd",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "eclipse distribution license": "bsd",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "european union public licence": "eupl",
     "creative commons": "cc",
+    "cc0 1 0 universal": "cc0",
+    "open database license": "odbl",
+    "open data commons": "odc",
+    "open software license": "osl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
     "isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "microsoft public license": "ms",
+    "python software foundation license": "psf",
+    "postgresql license": "postgresql",
+    "sil open font license": "ofl",
+    "universal permissive license": "upl",
+    "university of illinois ncsa open source license": "ncsa",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "zlib license": "zlib",
+    "zope public license": "zpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
     "all rights reserved": "proprietary",
 }
+#: Tags, and identifiers that have no version behind them.
 TAGS = ("spdx-license-identifier", "license-expression", "licence", "license")
-#: Identifier families: the label is the part before the version.
 FAMILIES = ("mit", "apache", "lgpl", "agpl", "gpl", "bsd", "mpl", "epl", "cc0", "cc", "isc", "unlicense", "zlib", "proprietary")
+PLAIN = ("0bsd", "afl", "artistic", "beerware", "cddl", "curl", "eupl", "ftl", "hpnd", "icu", "ijg", "imagemagick", "json", "libpng", "libtiff", "ncsa", "netcdf", "ofl", "openssl", "postgresql", "psf", "python", "ruby", "sleepycat", "sspl", "upl", "vim", "w3c", "wtfpl", "x11", "xnet", "zpl")
+#: A name with a version, as listed identifiers have it: its label is the name.
+VERSIONED = re.compile(r"([a-z][a-z0-9]*(?:-[a-z]+)*?)-v?[0-9]+(?:\.[0-9]+)+(?:-(?:only|or-later|[a-z]{2,3}))?\+?$")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9][a-z0-9.+\-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -142,7 +171,13 @@ def expression(text: str, at: int = 0, stop: int | None = None) -> tuple[set[str
 
 
 def label(identifier: str) -> str | None:
-    return next((f for f in FAMILIES if re.match(rf"{f}(?![a-z])", identifier)), None)
+    """A licence's family: the known ones by their start, others by their name
+    without a version. None for what doesn't look like an identifier."""
+    known = next((f for f in FAMILIES if re.match(rf"{f}(?![a-z])", identifier)), None)
+    if known or identifier in PLAIN:
+        return known or identifier
+    m = VERSIONED.match(identifier)
+    return m[1].split("-")[0] if m else None
 
 
 class Scanner:
