@@ -40,6 +40,24 @@ def test_mixing_thresholds_are_nested(spark, sf):
     assert few and few < more
 
 
+def test_mixing_of_many_sources(spark):
+    """The table of sources is dealt out as the plain version does; ties of hashes go together."""
+    import random
+
+    r = random.Random(7)
+    rows = [(i, " ".join("w" * r.choice([0, 1, 5, 40])), "x", None if i % 50 == 0 else f"host{r.randrange(60)}", 1) for i in range(600)] + [(9, "same row here", "x", "host1", 1)] * 30
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    plan = {s: (n, t) for s, n, t in mixing.targets(sorted(sizes.items(), key=lambda x: (x[0] is None, x[0] or "")))}
+    assert len(got) == len(rows) and all((r.source_size, r.target) == (plan[r.source][0], pytest.approx(plan[r.source][1])) for r in got)
+    assert len({r.copies for r in got if r.text == "same row here"}) == 1
+    largest = max(r.size for r in got)
+    for s, (_, t) in plan.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= max(largest, 90 if s == "host1" else 0)
+
+
 def test_mixing_edges(docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count() and all(r.taken <= 2 * r.size for r in out)
@@ -126,6 +144,16 @@ def test_licence_base(docs, rows, spark):
     assert got[202].labels == "gpl" and got[203].labels == "" and got[204].labels == "mit"
 
 
+def test_labels_by_a_plain_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = [(-1, "License: Artistic-2.0 or postgresql"), (-2, "licence: own-1 and version 2.0"), (-3, "the Boost Software License and GNU Library General Public License"), (-4, "x" * 400_000 + " mit license"), (-5, None), (-6, "license: mit license: apache-2.0")]
+    t = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.labels for r in licences.scan(t).collect()}
+    notices = {**licences.BASE, **licences.NOTICES}
+    assert got == {r.doc_id: brute.licence_labels(r.text, notices, licences.label, licences.expression) for r in t.collect()}
+    assert (got[-1], got[-2], got[-3], got[-4]) == ("artistic,postgresql", "", "bsl,gpl,lgpl", "mit")
+
+
 def test_long_expressions_are_read_whole():
     scan = licences.Scanner().scan
     many = " or ".join(f"own-{i}" for i in range(150))
@@ -171,6 +199,23 @@ def test_pipeline(spark, sf):
     assert P.run(spark, sf).count() > 0
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_entry_where_a_module_is_missing(monkeypatch):
+    """A library that the operators need isn't there: the archive queries stay."""
+    for name in [m for m in sys.modules if m.startswith("stowage.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    e = importlib.import_module("__spark_entry__")
+    assert "q_select_best" in e.queries() and not any(q.startswith("op") for q in e.queries())
+    sys.modules.pop("__spark_entry__", None)
+
+
 def test_entry_without_the_package(monkeypatch):
     """The archive queries stay when the folder and the pipeline are gone."""
     import importlib.util as u

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from stowage.llm import language_id, lm_scoring, neighbours, quality
+from stowage.llm import common, language_id, lm_scoring, neighbours, quality
 
 
 def test_neighbours(spark):
@@ -36,7 +36,7 @@ def test_graph_goes_on_until_its_links_are_still(spark):
     """Narrow first lists take more than two rounds."""
     v = np.random.default_rng(4).normal(size=(1500, 12))
     t = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
-    nodes = neighbours.nodes_of(t, 2).localCheckpoint()
+    nodes = common.materialize(neighbours.nodes_of(t, 2), "test-nodes")
     node = {r.ids[0]: r.node for r in nodes.select("node", "ids").collect()}
     got = {(r.a, r.b) for r in neighbours.build_graph(nodes, k=10, lists=3, block=8, reverse=10).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -151,3 +151,84 @@ def test_quality_edges(spark, docs, empty):
     out = quality.classify(docs, some).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     assert quality.classify(empty, some).collect() == []
+
+
+def test_lm_scores_are_the_recursion(spark, rows):
+    """Both scores of every document by plain loops; repeated ids count and are scored each."""
+    own = [r[:2] for r in rows if (r[0] % 3 == 0 and r[0] < 60) or 60 <= r[0] < 64] + [(2000, "lone words that nothing else has: zzyzx qwrk"), (2001, "twice"), (2001, "twice")]
+    start = {p: math.exp(v) for p, v in lm_scoring.Lattice.of_file(None).score.items()}
+    got = lm_scoring.score(spark.createDataFrame(own, "doc_id long, text string"), head=20).collect()
+    want = brute.lm_scores(own, start, lm_scoring.END)
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in own)
+    assert all((r.score, r.lattice_score) == pytest.approx(want[r.doc_id], abs=1e-6) for r in got)
+
+
+def test_long_words_are_worked_on_in_blocks(monkeypatch):
+    r = np.random.default_rng(3)
+    lattice = lm_scoring.Lattice({k: math.log(v) for k, v in {b" ": 0.1, b"a": 0.2, b"b": 0.1, b"ab": 0.25, b" a": 0.05, b"aba": 0.1, b" ab": 0.2}.items()})
+    words = [bytes(r.choice([97, 98], n).tolist()) for n in (1, 30, 31, 200, 333)]
+    whole, used = lattice.log_probabilities(words), lattice.expected(words, np.arange(1.0, 6.0))
+    monkeypatch.setattr(lm_scoring, "LONG", 30)
+    assert np.allclose(lattice.log_probabilities(words), whole) and np.allclose(lattice.expected(words, np.arange(1.0, 6.0)), used)
+
+
+def test_a_very_long_word_is_scored(spark):
+    t = spark.createDataFrame([(1, "x" * 300_000 + " and more"), (2, "and more"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(t).collect()}
+    assert got[1].n_tokens == 4 and got[1].lattice_score < got[2].lattice_score < 0 and all(math.isfinite(r.score) for r in got.values())
+
+
+def test_families_of_the_documents_hold_several_languages(spark):
+    """The one-versus-one machines decide on the documents, and decide well."""
+    t = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_features(language_id.sample_of(t, 100, 8000))
+    assert sorted(map(len, model.families)) == [2, 2] and all(len(p) == 1 for p in model.pairs)
+    got = language_id.identify(t, per_lang=100).join(t.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred != 'und'").toPandas()
+    assert (got.lang_pred == got.lang).mean() >= 0.95
+
+
+def test_families_are_of_bounded_size():
+    r = np.random.default_rng(5)
+    profiles = r.normal(size=(50, 30))
+    profiles /= np.linalg.norm(profiles, axis=1, keepdims=True)
+    groups = language_id.families_of(profiles)
+    assert sorted(i for g in groups for i in g) == list(range(50)) and max(map(len, groups)) <= 16
+    assert [len(language_id.families_of(profiles[:n])) for n in (1, 2, 4)] == [1, 1, 2]
+
+
+def test_a_text_that_is_repeated_is_one_training_row(spark):
+    t = spark.createDataFrame([(1, "ein text", "de")] * 40 + [(i, f"some text {chr(97 + i)}", "en") for i in range(5)], "doc_id long, text string, lang string")
+    got = [lang for _, lang in language_id.sample_of(t, 10, 100)]
+    assert got.count("de") == 1 and got.count("en") <= 5
+
+
+def test_quality_learns_from_all_unlabelled_documents(spark):
+    """The surest documents of the whole table come, repeated rows once, none that has a label."""
+    rows = [(i, f"{'good clear prose' if i % 2 else 'BUY!!! $$$ now'} {i % 7} " * 5, "en", "a", 100) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[300:310] * 20, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.CoTraining.give
+    try:
+        quality.CoTraining.give = lambda self, name, side, found, each: (seen.append([x[0] for x in found]), real(self, name, side, found, each))[1]
+        good, toxic = quality.fit(quality.views_of(docs), labels, each=30, sure=0.8)
+    finally:
+        quality.CoTraining.give = real
+    keys = [k for found in seen for k in found]
+    assert good and toxic is None and keys and min(d for d, _ in keys) >= 100 and all(len(f) == len(set(f)) for f in seen)
+    out = quality.classify(docs, labels).toPandas()
+    assert (out[out.doc_id % 2 == 1].quality > 0.5).all() and (out[out.doc_id % 2 == 0].quality < 0.5).all()
+
+
+def test_recall_where_few_nodes_are_opened(spark):
+    """4,000 vectors in clusters, a short pool: each query scores a small share of all."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 24))
+    v = centres[r.integers(0, 40, 4000)] + 0.6 * r.normal(size=(4000, 24))
+    t = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.search(t, every=50, k=5, pool=40, open_=16).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(80), np.arange(0, 4000, 50)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([j in set(got[got.query_id == 50 * i].vec_id) for i, row in enumerate(best) for j in row]) >= 0.9
