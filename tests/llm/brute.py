@@ -160,7 +160,7 @@ def licence_labels(text, notices, label, expression):
     words = " " + " ".join(w.decode("utf-8", "replace") for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
     out = {name for phrase, name in notices.items() if f" {phrase} " in words}
     flat = low.decode("utf-8", "replace")
-    for m in re.finditer(r"(?:spdx-license-identifier|license-expression|licen[cs]e):([^\n]*)", flat):
+    for m in re.finditer(r"(?:spdx-license-identifier|license-expression|licen[cs]e):(?=([^\n]*))", flat):
         found = expression(m[1])
         out |= {x for i in (found[0] if found else ()) if (x := label(i))}
     return ",".join(sorted(out))
