@@ -3,6 +3,10 @@ functional: they return the table or the outcomes after the change."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import inf
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,30 +87,82 @@ def duplicate_verdict(new: DataFrame, placed: DataFrame) -> DataFrame:
     return out.select("id", verdict.alias("verdict"), "archive_id")
 
 
+class Rooms:
+    """The free room of bins in a tree of maxima: the first bin with room for a
+    size is found, and its room changed, in logarithmic time."""
+
+    def __init__(self):
+        self.leaves, self.n = 1, 0
+        self.most = [-inf, -inf]
+
+    def add(self, room: float) -> int:
+        if self.n == self.leaves:
+            old = self.most[self.leaves :]
+            self.leaves *= 2
+            self.most = [-inf] * self.leaves + old + [-inf] * self.leaves
+            self.most = self.most[: 2 * self.leaves]
+            for i in range(self.leaves - 1, 0, -1):
+                self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+        self.n += 1
+        self.put(self.n - 1, room)
+        return self.n - 1
+
+    def put(self, at: int, room: float) -> None:
+        i = at + self.leaves
+        self.most[i] = room
+        while i > 1:
+            i //= 2
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+    def room(self, at: int) -> float:
+        return self.most[at + self.leaves]
+
+    def first(self, size: float) -> int | None:
+        if self.most[1] < size:
+            return None
+        i = 1
+        while i < self.leaves:
+            i = 2 * i if self.most[2 * i] >= size else 2 * i + 1
+        return i - self.leaves
+
+
 def first_fit(items: DataFrame, archives: DataFrame, limit: int | None) -> DataFrame:
     """Online first fit per category, a fold over its items in their order:
     the first archive with room, else a new one; an item over the limit gets
     one too; without a limit, every item does.
 
     items: (category_id, seq, size); archives: (category_id, name, size), tried
-    by name. Adds bin: place among the category's archives, from 0. First fit
-    depends on all items before; a category is a task's work by definition."""
-    import pandas as pd
-
-    def run(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        used = old.sort_values("name")["size"].tolist()
-        new = new.sort_values("seq")
-        bins = []
-        for size in new["size"].tolist():
-            at = next((i for i, u in enumerate(used) if limit is not None and u + size <= limit), None)
-            if at is None:
-                used.append(0)
-                at = len(used) - 1
-            used[at] += size
-            bins.append(at)
-        return pd.DataFrame({"category_id": new["category_id"], "seq": new["seq"], "size": new["size"], "bin": bins})
-
-    return items.groupBy("category_id").cogroup(archives.groupBy("category_id")).applyInPandas(run, "category_id long, seq long, size long, bin long")
+    by name; a null size counts as 0. Adds bin: place among the category's
+    archives, from 0. First fit depends on all items before, so a category is a
+    task's work by definition; its rows stream through in order, and only the
+    bins' free room is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rooms = None, Rooms()
+        for batch in batches:
+            out = []
+            for c, there, seq, size in zip(*(batch.column(x).to_pylist() for x in ("category_id", "there", "seq", "size"))):
+                if now != (c,):
+                    now, rooms = (c,), Rooms()
+                if there:
+                    rooms.add(-inf if limit is None else limit - size)
+                    continue
+                at = None if limit is None else rooms.first(size)
+                if at is None:
+                    at = rooms.add(-inf if limit is None else limit - size)
+                else:
+                    rooms.put(at, rooms.room(at) - size)
+                out.append((c, seq, size, at))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["category_id", "seq", "size", "bin"])
+
+    size = F.coalesce(F.col("size").cast("bigint"), F.lit(0).cast("bigint")).alias("size")
+    category, none = F.col("category_id").cast("bigint").alias("category_id"), F.lit(None)
+    old = archives.select(category, F.lit(True).alias("there"), none.cast("bigint").alias("seq"), size, F.col("name").cast("string").alias("name"))
+    new = items.select(category, F.lit(False).alias("there"), F.col("seq").cast("bigint").alias("seq"), size, none.cast("string").alias("name"))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = old.unionByName(new).repartition(parts, "category_id").sortWithinPartitions("category_id", F.desc("there"), "name", "seq")
+    return rows.select("category_id", "there", "seq", "size").mapInArrow(run, "category_id long, seq long, size long, bin long")
 
 
 def next_sequence(archives: DataFrame) -> DataFrame:

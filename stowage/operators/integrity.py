@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +14,35 @@ from stowage.functions import columns as C
 
 def folder_hash(members: DataFrame, folder: str = "folder") -> DataFrame:
     """SHA-256 over path and digest of a folder's files in walk order; null if a
-    digest is missing. members: folder, relpath, sha256."""
-    pairs = F.array_sort(F.collect_list(F.struct(C.walk_key(F.col("relpath")).alias("k"), "relpath", "sha256")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat(p["relpath"], p["sha256"])), "")
-    out = members.groupBy(folder).agg(F.count_if(F.col("sha256").isNull()).alias("unreadable"), F.count("*").alias("files"), text.alias("t"))
-    return out.select(folder, "files", F.when(F.col("unreadable") == 0, F.sha2("t", 256)).alias("folder_hash"))
+    digest is missing. members: folder, relpath, sha256. A hash goes over its
+    input in order, so a folder is one task's work; its rows are sorted there and
+    stream through the hash, and none of them is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        digest, files, bad = hashlib.sha256(), 0, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([files], pa.int64()), pa.array([None if bad else digest.hexdigest()], pa.string())], names=[folder, "files", "folder_hash"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(folder).type
+            for name, path, sha in zip(*(batch.column(c).to_pylist() for c in (folder, "relpath", "sha256"))):
+                if now != (name,):
+                    if now:
+                        yield out()
+                    now, digest, files, bad = (name,), hashlib.sha256(), 0, 0
+                files += 1
+                bad += path is None or sha is None
+                digest.update(f"{path}{sha}".encode())
+        if now:
+            yield out()
+
+    rows = members.select(folder, "relpath", "sha256", C.walk_key(F.col("relpath")).alias("k"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = members.schema[folder].dataType.simpleString()
+    return rows.repartition(parts, folder).sortWithinPartitions(folder, "k", "relpath", "sha256").mapInArrow(run, f"`{folder}` {kind}, files long, folder_hash string")
 
 
 def incremental_manifest(now: DataFrame, manifest: DataFrame) -> DataFrame:
