@@ -169,10 +169,86 @@ def measure(files: DataFrame) -> DataFrame:
     return files.mapInArrow(_measure(dict(REGISTRY)), ", ".join([*rest, _RESULT]))
 
 
-def measure_unique(files: DataFrame, key: str = "sha256") -> DataFrame:
-    """Measures each content once per strategy and joins the result back."""
-    once = measure(files.select(key, "content", "strategy").dropDuplicates([key, "strategy"]))
-    return files.drop("content").join(once, [key, "strategy"])
+def measure_unique(files: DataFrame, strategies: list[str], key: str = "sha256") -> DataFrame:
+    """files: key, content, and other columns. Measures each content once with
+    each strategy and joins the results back: a row per file and strategy. A
+    content is shuffled once, however many strategies there are."""
+    once = files.select(key, "content").dropDuplicates([key])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _measure(registry)
+        for batch in batches:
+            for i in range(batch.num_rows):  # a content at a time, so a batch of large ones isn't multiplied
+                one = batch.slice(i, 1).take(pa.array([0] * len(strategies), pa.int64()))
+                yield from run(iter([one.append_column("strategy", pa.array(strategies, pa.string()))]))
+
+    registry = dict(REGISTRY)
+    kind = f"`{key}` {once.schema[key].dataType.simpleString()}, strategy string, {_RESULT}"
+    return files.drop("content").join(once.mapInArrow(each, kind), key)
+
+
+class RestoreError(ValueError):
+    """A member's restored bytes aren't those that were stored."""
+
+
+def _coded(codecs: dict[str, Codec], restore: bool):
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sums = [], []
+            names = batch.column("strategy").to_pylist()
+            wanted = batch.column("sha256").to_pylist() if restore else names
+            for raw, name, want in zip(batch.column("stored" if restore else "content"), names, wanted):
+                raw = raw.as_py()
+                codec = codecs.get(name) if name not in (None, "baseline_zip") or not restore else None
+                if name is not None and name != "baseline_zip" and (codec is None or codec.encode is None):
+                    raise RestoreError(f"strategy {name} isn't available")
+                if raw is None or name is None or (restore and codec is None):
+                    back = raw  # stored as it is
+                else:
+                    back = codec.decode(raw) if restore else codec.encode(raw)
+                digest = None if raw is None else hashlib.sha256(back if restore else raw).hexdigest()
+                if restore and codec is not None and digest != want:
+                    raise RestoreError(f"restored with {name}: sha256 {digest}, wanted {want}")
+                out.append(back)
+                sums.append(digest)
+            keep = [n for n in batch.schema.names if n not in ("content", "stored", "sha256")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(out, pa.binary()), pa.array(sums, pa.string())], names=[*keep, "content" if restore else "stored", "sha256"])
+
+    return run
+
+
+def _kinds(files: DataFrame, without: tuple[str, ...], more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name not in without), more])
+
+
+def store(files: DataFrame) -> DataFrame:
+    """files: content, strategy and other columns. Members as they are stored:
+    the content becomes stored (encoded; as it is without a strategy), with the
+    content's sha256. Null contents stay null; a strategy that isn't available is
+    an error."""
+    return files.mapInArrow(_coded(dict(REGISTRY), False), _kinds(files, ("content", "sha256"), "stored binary, sha256 string"))
+
+
+def restore(members: DataFrame) -> DataFrame:
+    """members: stored, strategy, sha256 and other columns. The contents, of
+    which every encoded one must have the sha256 that was stored: a difference
+    fails the job, no wrong bytes are returned. Without a strategy, and for the
+    baseline, whose container is opened by its reader, bytes go through as they
+    are."""
+    return members.mapInArrow(_coded(dict(REGISTRY), True), _kinds(members, ("stored", "sha256"), "content binary, sha256 string"))
+
+
+def canonical_xml(text: str | None) -> str | None:
+    """Canonical XML (C14N 2.0): attributes in order, no comments, empty elements
+    as pairs of tags, white space between tags gone; null if it isn't well formed."""
+    import xml.etree.ElementTree as E
+
+    try:
+        return E.canonicalize(text, strip_text=True)
+    except (E.ParseError, TypeError, ValueError):
+        return None
 
 
 def compressible(files: DataFrame, sample: int = MIB, least_percent: float = 5.0) -> DataFrame:

@@ -241,18 +241,6 @@ def q_prefix_sum(spark, d):
     return sums.select(rows.alias("r")).select("r.*")  # one scan for any few prefixes, instead of a join on a prefix
 
 
-@query("""select category_id, id as seq, current_size as size, cast(bin as bigint) as bin from (
- with recursive o as (select *, row_number() over (partition by category_id order by id) as r from v_archive where id <= 2000),
- s as (select category_id, id, current_size, r, [current_size] as bins, 1 as bin1 from o where r = 1
-  union all select o.category_id, o.id, o.current_size, o.r, case when f.at is null then list_append(s.bins, o.current_size) else list_transform(s.bins, lambda b, i: case when i = f.at then b + o.current_size else b end) end, coalesce(f.at, len(s.bins) + 1)
-  from s join o on o.category_id = s.category_id and o.r = s.r + 1, lateral (select list_position(list_transform(s.bins, lambda b: b + o.current_size <= 1500000), true) as at) f)
- select category_id, id, current_size, bin1 - 1 as bin from s)""")
-def q_first_fit_bins(spark, d):
-    a = V.archive(spark, d).filter("id <= 2000")
-    none = spark.createDataFrame([], "category_id long, name string, size long")
-    return T.first_fit(a.select("category_id", F.col("id").alias("seq"), F.col("current_size").alias("size")), none, 1_500_000)
-
-
 @query("""select category_id, id as seq, current_size as size, cast(bin as bigint) as bin from (
  with recursive o as (select *, row_number() over (partition by category_id order by id) as r from v_archive),
  s as (select category_id, id, current_size, r, [current_size] as bins, 1 as bin1 from o where r = 1
@@ -260,7 +248,6 @@ def q_first_fit_bins(spark, d):
   from s join o on o.category_id = s.category_id and o.r = s.r + 1, lateral (select list_position(list_transform(s.bins, lambda b: b + o.current_size <= 1500000), true) as at) f)
  select category_id, id, current_size, bin1 - 1 as bin from s)""")
 def q_first_fit_bins_all(spark, d):
-    """Every archive placed; q_first_fit_bins has those up to an id."""
     a = V.archive(spark, d)
     none = spark.createDataFrame([], "category_id long, name string, size long")
     return T.first_fit(a.select("category_id", F.col("id").alias("seq"), F.col("current_size").alias("size")), none, 1_500_000)

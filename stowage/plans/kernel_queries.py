@@ -58,21 +58,28 @@ def q_block_pack(spark, d):
     return small.select("vec_id", (N.unpack4(four, n) == F.col("a")).alias("same4"), (N.unpack6(six, n) == F.col("a")).alias("same6"), F.size(four).alias("bytes4"), F.size(six).alias("words6"), F.size(F.flatten(N.blocks(F.col("a"), 8))).alias("restored"))
 
 
-@query("select conv_id, cast(row_number() over (partition by conv_id order by text, turn) as bigint) as sorted_pos, turn, row_number() over (partition by conv_id order by turn) = row_number() over (partition by conv_id order by turn) as restores from conversations")
+@query("select conv_id, turn, cast(row_number() over (partition by conv_id order by text, turn) as bigint) as sorted_pos, text as restored from conversations")
 def q_sort_permutation(spark, d):
+    """Each conversation's turns sorted by text, with the permutation; then put
+    back by it alone: the row at each place of the first order, looked up through
+    the permutation, has the text that stood there."""
     from pyspark.sql import Window
 
+    w = Window.partitionBy("conv_id")
     t = V.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    forward = t.withColumn("sorted_pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("text", "turn")).cast("bigint"))
-    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return forward.withColumn("p", at).select("conv_id", "sorted_pos", "turn", (F.col("p") == at).alias("restores"))
+    forward = t.withColumn("place", F.row_number().over(w.orderBy("turn"))).withColumn("sorted_pos", F.row_number().over(w.orderBy("text", "turn")).cast("bigint"))
+    ordered = forward.select("conv_id", "sorted_pos", "text")
+    permutation = forward.select("conv_id", "place", "sorted_pos")
+    back = permutation.join(ordered.withColumnRenamed("text", "restored"), ["conv_id", "sorted_pos"])
+    turns = t.select("conv_id", "turn").withColumn("place", F.row_number().over(w.orderBy("turn")))
+    return back.join(turns, ["conv_id", "place"]).select("conv_id", "turn", "sorted_pos", "restored")
 
 
 @query("select doc_id, s.strategy, true as exact_match, sha256(text) as restored_sha256, 'PASS' as status from documents, (values ('baseline_zip'), ('generic_zlib'), ('generic_lzma'), ('lzma_x86'), ('generic_zstd'), ('zstd_long_range_v2'), ('csv_prefilter')) s(strategy) union all select doc_id, 'generic_brotli', false, null, 'SKIPPED_UNAVAILABLE' from documents")
 def q_codec_measure(spark, d):
     names = ["baseline_zip", "generic_zlib", "generic_lzma", "lzma_x86", "generic_zstd", "zstd_long_range_v2", "csv_prefilter", "generic_brotli"]
-    t = V.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("content"), F.explode(F.array(*map(F.lit, names))).alias("strategy"))
-    return codecs.measure_unique(t).select("doc_id", "strategy", "exact_match", "restored_sha256", "status")
+    t = V.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("content"))
+    return codecs.measure_unique(t, names).select("doc_id", "strategy", "exact_match", "restored_sha256", "status")
 
 
 @query("select page_id, sha256(html) as original_sha256, 'OK' as outcome from pages")
@@ -93,20 +100,9 @@ def q_text_preflight(spark, d):
     return V.table(spark, d, "documents").select("doc_id", S.text_verdict(F.col("text").cast("binary"), 20_000).alias("verdict"))
 
 
-@query("select archive_id as id, count(*) as files, cast(sum(original_size) as bigint) as original_bytes, max(path_in_archive) as last_path from v_item where archive_id % 10 = 1 group by 1")
-def q_manifest_round_trip(spark, d):
-    """Manifests written as JSON documents and read back."""
-    i = V.item(spark, d).filter("archive_id % 10 = 1")
-    members = i.select(F.col("archive_id").alias("id"), F.col("line").alias("pos"), "path_in_archive", "original_size", "compressed_size", F.col("original_hash").alias("sha256"), F.crc32(F.col("original_hash").cast("binary")).alias("crc32"), "strategy", F.col("original_hash").alias("original_sha256"))
-    a = i.select(F.col("archive_id").alias("id")).distinct().select("id", F.lit("a").alias("archive_name"), F.lit("c").alias("category"), F.lit(0).alias("archive_size"), F.lit(None).cast("string").alias("archive_sha256"))
-    docs = sinks.manifest_documents(a, members).select(F.col("id").cast("string").alias("path"), F.col("document").cast("binary").alias("content"))
-    back = S.manifests(docs).select(F.col("path").cast("bigint").alias("id"), F.explode("manifest.files").alias("f"))
-    return back.groupBy("id").agg(F.count("*").alias("files"), F.sum("f.original_size").alias("original_bytes"), F.max("f.path_in_archive").alias("last_path"))
-
-
 @query("select archive_id as id, count(*) as files, cast(sum(original_size) as bigint) as original_bytes, max(path_in_archive) as last_path from v_item group by 1")
 def q_manifest_round_trip_all(spark, d):
-    """The manifests of all archives; q_manifest_round_trip has a tenth of them."""
+    """Manifests written as JSON documents and read back."""
     i = V.item(spark, d)
     members = i.select(F.col("archive_id").alias("id"), F.col("line").alias("pos"), "path_in_archive", "original_size", "compressed_size", F.col("original_hash").alias("sha256"), F.crc32(F.col("original_hash").cast("binary")).alias("crc32"), "strategy", F.col("original_hash").alias("original_sha256"))
     a = i.select(F.col("archive_id").alias("id")).distinct().select("id", F.lit("a").alias("archive_name"), F.lit("c").alias("category"), F.lit(0).alias("archive_size"), F.lit(None).cast("string").alias("archive_sha256"))
@@ -115,13 +111,46 @@ def q_manifest_round_trip_all(spark, d):
     return back.groupBy("id").agg(F.count("*").alias("files"), F.sum("f.original_size").alias("original_bytes"), F.max("f.path_in_archive").alias("last_path"))
 
 
-@query("select doc_id, true as restored, true as best_is_least from documents")
+@query("""select doc_id, sha256(text) as restored_sha256, 4 as codecs, true as smaller_than_stored, true as none_is_smaller from documents""")
 def q_best_codec(spark, d):
-    """The smallest of four codecs for each content, found by one aggregate."""
+    """The smallest of four codecs for each content by one aggregate; the content
+    is then stored with the chosen one and restored, and the size it takes is
+    compared with every codec's."""
     names = ["generic_zlib", "generic_lzma", "generic_zstd", "zstd_long_range_v2"]
-    t = V.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.explode(F.array(*map(F.lit, names))).alias("strategy"))
-    m = codecs.measure(t).groupBy("doc_id").agg(F.min_by(F.struct("stored_bytes", "strategy"), F.struct("stored_bytes", "strategy")).alias("best"), F.min("stored_bytes").alias("least"), F.every("exact_match").alias("restored"))
-    return m.select("doc_id", "restored", (F.col("best.stored_bytes") == F.col("least")).alias("best_is_least"))
+    t = V.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.col("text").cast("binary").alias("content"))
+    m = codecs.measure_unique(t.select("key", "content"), names, "key").dropDuplicates(["key", "strategy"])
+    best = m.groupBy("key").agg(F.min(F.struct("stored_bytes", "strategy")).alias("best"), F.collect_list("stored_bytes").alias("sizes"), F.count("*").cast("int").alias("codecs"))
+    stored = codecs.store(t.join(best, "key").select("doc_id", "sizes", "codecs", F.col("best.strategy").alias("strategy"), "content"))
+    back = codecs.restore(stored.withColumn("took", F.octet_length("stored")))
+    return back.select("doc_id", F.sha2("content", 256).alias("restored_sha256"), "codecs", (F.col("took") <= F.octet_length("content") + 64).alias("smaller_than_stored"), F.forall("sizes", lambda x: x >= F.col("took")).alias("none_is_smaller"))
+
+
+@query("select page_id, case page_id % 4 when 0 then 'generic_zstd' when 1 then 'generic_lzma' when 2 then 'lzma_x86' else 'stored' end as strategy, sha256(html) as restored_sha256, cast(strlen(html) as bigint) as bytes from pages")
+def q_restore_members(spark, d):
+    """Pages stored with several strategies, one of them none, and restored; a
+    wrong hash fails the query."""
+    m = F.col("page_id") % 4
+    strategy = F.when(m == 0, "generic_zstd").when(m == 1, "generic_lzma").when(m == 2, "lzma_x86")
+    back = codecs.restore(codecs.store(V.table(spark, d, "pages").select("page_id", strategy.alias("strategy"), F.col("html").cast("binary").alias("content"))))
+    return back.select("page_id", F.coalesce("strategy", F.lit("stored")).alias("strategy"), F.sha2("content", 256).alias("restored_sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query("select doc_id, 'member' as name, cast(strlen(text) as bigint) as size, cast(null as varchar) as error from documents")
+def q_zip_members(spark, d):
+    """Each content in a ZIP container of its own, and the containers' directories."""
+    t = V.table(spark, d, "documents").select("doc_id", F.lit("baseline_zip").alias("strategy"), F.col("text").cast("binary").alias("content"))
+    zips = codecs.store(t).select(F.col("doc_id").cast("string").alias("path"), F.col("stored").alias("content"))
+    return S.zip_members(zips).select(F.col("path").cast("bigint").alias("doc_id"), "name", "size", "error")
+
+
+@query("""select p_partkey as id, '<part a="' || p_partkey || '" z="' || p_size || '"><name>' || p_name || '</name><none></none></part>' as canonical from part union all select -1, null""")
+def q_canonical_xml(spark, d):
+    """Attributes in order, empty elements as two tags, comments and white space
+    between tags gone; a broken document is null."""
+    canonical = F.pandas_udf(lambda s: s.map(codecs.canonical_xml), "string")
+    text = F.concat(F.lit("<part  z='"), F.col("p_size").cast("string"), F.lit("' a='"), F.col("p_partkey").cast("string"), F.lit("'>\n  <name>"), F.col("p_name"), F.lit("</name><!-- x --><none/>\n</part>"))
+    t = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("t"))
+    return t.unionByName(spark.range(1).select(F.lit(-1).cast(t.schema["id"].dataType).alias("id"), F.lit("<part><name></part>").alias("t"))).select("id", canonical("t").alias("canonical"))
 
 
 @query("""select event_id, '{"a":[1,2],"k":' || json_extract_string(props, '$.k') || '}' as canonical from events""")
