@@ -173,3 +173,48 @@ def test_boxes():
     assert [k for k, _, _ in containers.boxes(wide + struct.pack(">I4s", 8, b"moov"))] == [b"wide", b"moov"]
     assert containers.starts_fast(wide + struct.pack(">I4s", 8, b"moov"))
     assert not containers.starts_fast(struct.pack(">I4s", 1, b"wide")) and not containers.starts_fast(None)
+
+
+def test_restore_fails_on_a_wrong_hash(spark):
+    from pyspark.errors import PythonException
+
+    rows = [(1, None, b"as it is"), (2, "generic_zlib", b"x" * 500), (3, "lzma_x86", b""), (4, "baseline_zip", b"zip"), (5, "generic_zstd", None)]
+    stored = codecs.store(spark.createDataFrame(rows, "id long, strategy string, content binary"))
+    back = {r.id: r.content for r in codecs.restore(stored).collect()}
+    assert back[1] == b"as it is" and back[2] == b"x" * 500 and back[3] == b"" and back[5] is None and back[4][:2] == b"PK"
+    with pytest.raises(PythonException, match="RestoreError"):
+        codecs.restore(stored.withColumn("sha256", F.lit("0" * 64))).collect()
+    with pytest.raises(PythonException, match="isn't available"):
+        codecs.store(spark.createDataFrame([("generic_brotli", b"x")], "strategy string, content binary")).collect()
+
+
+def test_rooms_find_the_first_bin_with_room():
+    import random
+
+    r, rooms, plain = random.Random(1), catalog.Rooms(), []
+    for _ in range(600):
+        size = r.randint(0, 12)
+        want = next((i for i, x in enumerate(plain) if x >= size), None)
+        assert rooms.first(size) == want
+        if want is None:
+            assert rooms.add(20 - size) == len(plain)
+            plain.append(20 - size)
+        else:
+            rooms.put(want, rooms.room(want) - size)
+            plain[want] -= size
+
+
+def test_canonical_xml():
+    assert codecs.canonical_xml("<a z='1' b=\"2\">\n <c/><!-- no --> </a>") == '<a b="2" z="1"><c></c></a>'
+    assert codecs.canonical_xml("<a>") is None and codecs.canonical_xml(None) is None
+
+
+def test_folder_hash_of_many_folders_and_gaps(spark):
+    import hashlib
+
+    rows = [(f"f{i % 7}", f"d{i % 3}/{i}", None if i == 20 else f"{i:064x}") for i in range(70)] + [(None, "x", "0")]
+    got = {r.folder: (r.files, r.folder_hash) for r in integrity.folder_hash(spark.createDataFrame(rows, "folder string, relpath string, sha256 string")).collect()}
+    for f in {r[0] for r in rows}:
+        own = sorted(((f"1{p.split('/')[0]}\x010{p.split('/')[1]}" if "/" in p else f"0{p}", p, s) for g, p, s in rows if g == f), key=lambda x: x[0])
+        want = None if any(s is None for *_, s in own) else hashlib.sha256("".join(p + s for _, p, s in own).encode()).hexdigest()
+        assert got[f] == (len(own), want)

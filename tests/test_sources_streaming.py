@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import selection
@@ -54,6 +55,36 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     assert {(r.x, r.k) for r in spark.read.parquet(p).collect()} == {(1, "a"), (3, "b")}
 
 
+def test_append_that_dies_leaves_no_trace(spark, tmp_path):
+    p = str(tmp_path / "t")
+    one, two = (spark.createDataFrame([(i, k) for i in range(20)], "x long, k string").repartition(4) for k in "ab")
+    assert sinks.guarded_append(one, p) >= 1 and sinks.recover(spark, p) == []
+    for moves in (0, 2):
+        try:
+            sinks.guarded_append(two, p, stop_after=moves)
+            raise AssertionError("it should stop")
+        except sinks.Interrupted:
+            pass
+        assert len(sinks.recover(spark, p)) == moves and sinks.recover(spark, p) == []
+        assert {r.k for r in spark.read.parquet(p).collect()} == {"a"} and not [f.name for f in (tmp_path / "t").iterdir() if f.name.startswith("_append")]
+    try:
+        sinks.guarded_append(two, p, stop_after=1)
+    except sinks.Interrupted:
+        sinks.guarded_append(two, p)  # rolls back first
+    assert spark.read.parquet(p).groupBy("k").count().orderBy("k").collect() == [("a", 20), ("b", 20)]
+
+
+def test_report_in_three_forms(spark, tmp_path):
+    p = str(tmp_path / "r")
+    t = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
+    for _ in range(2):
+        text = sinks.report(t, ["k"], "Run", p)
+    assert text == (tmp_path / "r/report.md").read_text() and "| b | 2 |" in text
+    assert spark.read.json(f"{p}/json").count() == spark.read.option("header", True).csv(f"{p}/csv").count() == 2
+    with pytest.raises(ValueError):
+        sinks.markdown(t, ["k"], "Run", most=1)
+
+
 def test_text_verdict(spark):
     t = spark.createDataFrame([(None,), (b"",), (b"x" * 200,), (b"\xff\na",), (b"one",), (b"a\nb",)], "c binary")
     assert [r[0] for r in t.select(files.text_verdict(F.col("c"), 100)).collect()] == ["MISSING", "EMPTY", "TOO_LARGE", "NOT_UTF8", "TOO_FEW_ROWS", "OK"]
