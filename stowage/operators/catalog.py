@@ -78,11 +78,12 @@ def deletion(requests: DataFrame, table: DataFrame, children: DataFrame, parent:
     return out.select("id", F.when(F.col("there").isNull(), "NOT_FOUND").when(F.coalesce("n", F.lit(0)) > 0, "NOT_EMPTY").otherwise("DELETED").alias("outcome"))
 
 
-def duplicate_verdict(new: DataFrame, placed: DataFrame) -> DataFrame:
-    """new: (id, original_hash). DUPLICATE if a stored item of that hash lies in
-    a verified archive, DUPLICATE_UNTRUSTED if only elsewhere, else PROCEED."""
-    known = placed.groupBy("original_hash").agg(F.bool_or(F.col("integrity_status") == "VERIFIED").alias("trusted"), F.min("archive_id").alias("archive_id"))
-    out = new.join(known, "original_hash", "left")
+def duplicate_verdict(new: DataFrame, placed: DataFrame, key: str = "original_hash") -> DataFrame:
+    """new: (id, key). DUPLICATE if a stored item of that key, a content's hash,
+    lies in a verified archive, DUPLICATE_UNTRUSTED if only elsewhere, else
+    PROCEED. placed: key, archive_id, integrity_status."""
+    known = placed.groupBy(key).agg(F.bool_or(F.col("integrity_status") == "VERIFIED").alias("trusted"), F.min("archive_id").alias("archive_id"))
+    out = new.join(known, key, "left")
     verdict = F.when(F.col("trusted").isNull(), "PROCEED").when(F.col("trusted"), "DUPLICATE").otherwise("DUPLICATE_UNTRUSTED")
     return out.select("id", verdict.alias("verdict"), "archive_id")
 

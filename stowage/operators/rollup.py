@@ -55,8 +55,13 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     """Totals over the files measured again; a file without an earlier result
     counts only behind. Both: file, selected_bytes, accepted."""
     b = before.select("file", F.col("selected_bytes").alias("b"), F.col("accepted").alias("bn"))
-    j = after.join(b, "file", "left")
-    return j.agg(F.count("*").alias("files"), F.count("b").alias("seen_before"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes_before"), F.sum("selected_bytes").alias("bytes_after"), F.coalesce(F.sum("bn"), F.lit(0)).alias("accepted_before"), F.sum("accepted").alias("accepted_after"), F.count_if(F.col("selected_bytes") < F.col("b")).alias("improved"))
+    return compared_totals(after.join(b, "file", "left"))
+
+
+def compared_totals(files: DataFrame) -> DataFrame:
+    """before_after() of rows that have both: selected_bytes and accepted now, b
+    and bn before (null without an earlier result)."""
+    return files.agg(F.count("*").alias("files"), F.count("b").alias("seen_before"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes_before"), F.sum("selected_bytes").alias("bytes_after"), F.coalesce(F.sum("bn"), F.lit(0)).alias("accepted_before"), F.sum("accepted").alias("accepted_after"), F.count_if(F.col("selected_bytes") < F.col("b")).alias("improved"))
 
 
 def worst(rows: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import columns as C
@@ -29,15 +29,16 @@ def decide(candidates: DataFrame, policy: K.Policy = K.POLICY) -> DataFrame:
     return candidates.withColumn("reason", C.policy_reason(F.col("baseline"), F.col("baseline"), F.col("candidate"), F.col("seconds"), F.col("sha_ok"), policy))
 
 
-def select_best(decided: DataFrame) -> DataFrame:
+def select_best(decided: DataFrame, *more: Column) -> DataFrame:
     """Per file the smallest accepted candidate, ties to the first measured;
     without one the baseline. One aggregate with map-side sums: no sort, no
-    window, no join back."""
+    window, no join back. `more` are further aggregates of a file, by alias."""
     size = F.when(F.col("reason") == "ACCEPTED", F.struct(F.col("candidate").alias("c"), F.col("pos").alias("p"), F.col("strategy").alias("s")))
-    best = decided.groupBy("file").agg(F.max("baseline").alias("baseline"), F.min(size).alias("w"), F.count("*").alias("measured"))
+    best = decided.groupBy("file").agg(F.max("baseline").alias("baseline"), F.min(size).alias("w"), F.count("*").alias("measured"), *more)
+    own = [c for c in best.columns if c not in ("file", "baseline", "measured", "w")]
     saved = F.col("baseline") - F.col("selected_bytes")
     return (
-        best.select("file", "baseline", "measured", F.coalesce("w.s", F.lit("baseline_zip")).alias("selected"), F.coalesce("w.c", F.col("baseline")).alias("selected_bytes"), F.col("w").isNull().alias("used_fallback"))
+        best.select("file", "baseline", "measured", F.coalesce("w.s", F.lit("baseline_zip")).alias("selected"), F.coalesce("w.c", F.col("baseline")).alias("selected_bytes"), F.col("w").isNull().alias("used_fallback"), *own)
         .withColumn("saved_bytes", saved)
         .withColumn("saved_percent", F.round(F.when(F.col("baseline") == 0, 0.0).otherwise(100.0 * saved / F.col("baseline")), 3))
     )

@@ -14,6 +14,11 @@ from .registry import query
 _PLACED = "v_item i join v_archive a on i.archive_id = a.id join v_category c on a.category_id = c.id"
 
 
+def _digests(spark, d):
+    """Items by the 32 bytes of their hash; shuffles carry half of its text."""
+    return V.item(spark, d).select("archive_id", F.unhex("original_hash").alias("digest"))
+
+
 def _placed(spark, d):
     return T.items_in_place(V.item(spark, d), V.archive(spark, d), V.category(spark, d))
 
@@ -50,7 +55,13 @@ def q_composite_key_lookup(spark, d):
 
 @query(f"select original_hash, min(archive_id) as archive_id, arg_min(c.name, a.id) as category, count(*) as copies from {_PLACED} group by 1")
 def q_find_by_hash_first(spark, d):
-    return _placed(spark, d).groupBy("original_hash").agg(F.min("archive_id").alias("archive_id"), F.min_by("category", "archive_id").alias("category"), F.count("*").alias("copies"))
+    """Digests of 32 bytes are shuffled, and the category of one archive a hash
+    is looked up, not that of every item."""
+    i, known = _digests(spark, d), V.category(spark, d).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    a = V.archive(spark, d).select(F.col("id").alias("archive_id"), "category_id").join(known.select("category_id"), "category_id", "left_semi")
+    first = i.join(a, "archive_id").groupBy("digest").agg(F.min(F.struct("archive_id", "category_id")).alias("f"), F.count("*").alias("copies"))
+    first = first.select(F.lower(F.hex("digest")).alias("original_hash"), F.col("f.archive_id").alias("archive_id"), F.col("f.category_id").alias("category_id"), "copies")
+    return first.join(known, "category_id").select("original_hash", "archive_id", "category", "copies")
 
 
 @query("select item_key, a.file_name as archive_name from v_item i join v_archive a on i.archive_id = a.id")
@@ -181,7 +192,8 @@ def q_update_after_edit(spark, d):
 def q_duplicate_verdict(spark, d):
     key = F.col("p_partkey")
     new = V.table(spark, d, "part").select(key.alias("id"), F.sha2(F.concat(key.cast("string"), F.lit(":"), (key % 100 + 1).cast("string")), 256).alias("original_hash"))
-    return T.duplicate_verdict(new, _placed(spark, d))
+    placed = _digests(spark, d).join(V.archive(spark, d).select(F.col("id").alias("archive_id"), "integrity_status"), "archive_id")
+    return T.duplicate_verdict(new.select("id", F.unhex("original_hash").alias("digest")), placed, "digest")
 
 
 @query("""select reason, count(*) as n from (select case when file_name is null then 'INVALID_PATH' when archive_id % 97 = 0 then 'INVALID_CATEGORY' when line = 7 and archive_id % 3 = 0 then 'PROTECTED_PATH' when original_size % 101 = 0 then 'SOURCE_MISSING' when original_size % 89 = 0 then 'HASH_FAILED' when compressed_size > original_size then 'WRITE_FAILED' when original_size > 50000 then 'INSUFFICIENT_SPACE' when archive_id % 61 = 0 then 'VERIFICATION_FAILED' else 'OK' end as reason from v_item) group by 1""")

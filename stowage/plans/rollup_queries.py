@@ -94,11 +94,10 @@ def q_strategy_counts(spark, d):
 @query("""select count(*) as files, count(b.file) as seen_before, cast(coalesce(sum(b.sb), 0) as bigint) as bytes_before, cast(sum(a.selected_bytes) as bigint) as bytes_after, cast(coalesce(sum(b.n), 0) as bigint) as accepted_before, cast(sum(n2) as bigint) as accepted_after, cast(count_if(a.selected_bytes < b.sb) as bigint) as improved from (select v_best.*, n2 from v_best join (select file, count_if(reason = 'ACCEPTED') as n2 from v_decided group by 1) using (file)) a
  left join (select file, min(baseline) as sb, count_if(reason = 'ACCEPTED' and pos <= 2) as n from v_decided where file % 3 <> 0 group by 1) b on a.file = b.file""")
 def q_before_after(spark, d):
-    t = V.decided(spark, d)
-    ok = F.count_if(F.col("reason") == "ACCEPTED")
-    after = S.select_best(t).select("file", "selected_bytes").join(t.groupBy("file").agg(ok.alias("accepted")), "file")
-    before = t.filter("file % 3 <> 0").groupBy("file").agg(F.min("baseline").alias("selected_bytes"), F.count_if((F.col("reason") == "ACCEPTED") & (F.col("pos") <= 2)).alias("accepted"))
-    return R.before_after(before, after)
+    """Both results of a file come from one aggregate over its candidates."""
+    ok, seen = F.col("reason") == "ACCEPTED", F.col("file") % 3 != 0
+    t = S.select_best(V.decided(spark, d), F.count_if(ok).alias("accepted"), F.min("baseline").alias("b"), F.count_if(ok & (F.col("pos") <= 2)).alias("bn"))
+    return R.compared_totals(t.select("file", "selected_bytes", "accepted", *[F.when(seen, F.col(c)).alias(c) for c in ("b", "bn")]))
 
 
 @query("select strategy, cast(count_if(sha_ok) as bigint) as passed, count(*) as n, round(avg(case when sha_ok then seconds end), 6) as avg_seconds, round(avg(case when sha_ok then candidate end) / 1e6, 6) as avg_mb from v_decided group by 1")
