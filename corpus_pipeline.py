@@ -43,6 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the pieces of the last one.
+
+    Null and empty texts and texts without letters go with the first stage, so
+    later ones only meet them where a removal leaves nothing: such a document
+    stays, as one token. Rows that repeat an id are documents of their own; null
+    ids, languages and sources are kept; very long texts are read whole; extra
+    columns are dropped at the start; an empty table gives an empty result.
+    """
     docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
