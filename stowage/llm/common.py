@@ -35,10 +35,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Most rows of an Arrow batch. A task holds its batch whole, in the JVM and in
+#: Python, and rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, never raises them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: the lineage
     ends here, and lost executors cost no more than their running tasks."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -67,6 +81,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

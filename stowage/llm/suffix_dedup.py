@@ -43,7 +43,7 @@ from .common import bytes_of, discard, documents, materialize, mix64, partitions
 
 GRAM = 16
 HOT = 20_000
-CHUNK = 20_000
+CHUNK = 8_000
 #: Shortest repeated string that is counted, in bytes.
 LEAST = 224
 _ROW = "k long, k2 int"
@@ -124,7 +124,7 @@ def _phrase_rows(length: int, least: int):
                 keys.append(np.full(len(lo), k, np.int64))
                 more.append(np.full(len(lo), k2, np.int32))
                 places.append(pack(lo, hi, at, end - lo))
-                if len(mids) > 200_000:
+                if len(mids) > 50_000:
                     yield out()
                     keys, more, mids, whole, places = [], [], [], [], []
             if mids:
@@ -160,7 +160,7 @@ def _contexts(least: int):
                 for x in asked.as_py():
                     lo, _, at, have = unpack(x["place"])
                     rows.append((x["hot"], k, k2, x["place"], x["once"], raw[at : at + reach], raw[lo : lo + have]))
-                if len(rows) > 20_000:
+                if len(rows) > 4_000:
                     yield out(rows)
                     rows = []
             yield out(rows)
@@ -217,7 +217,7 @@ def shared_windows(rows: list[tuple], length: int, least: int) -> list[tuple[int
     most = np.array([at - lo for lo, _, at, _ in spot])
     first = np.array([at - hi for _, hi, at, _ in spot])
     once = np.array([r[3] for r in rows])
-    lcp = np.zeros((n, span), np.int64)  # of the start o bytes left of the trigger with its nearest in corpus order
+    lcp = np.zeros((n, span), np.int32)  # of the start o bytes left of the trigger with its nearest in corpus order
     alike = np.empty(n, np.int64)
     for o in range(span):
         chosen = order[(first[order] <= o) & (o <= most[order])]
