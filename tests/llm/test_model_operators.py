@@ -232,3 +232,31 @@ def test_recall_where_few_nodes_are_opened(spark):
     s[np.arange(80), np.arange(0, 4000, 50)] = -9
     best = np.argsort(-s, axis=1)[:, :5]
     assert np.mean([j in set(got[got.query_id == 50 * i].vec_id) for i, row in enumerate(best) for j in row]) >= 0.9
+
+
+def _clustered(spark, n=4000):
+    r = np.random.default_rng(10)
+    v = r.normal(size=(40, 24))[r.integers(0, 40, n)] + 0.6 * r.normal(size=(n, 24))
+    return v, spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+
+
+def test_search_has_no_job_for_each_step(spark):
+    """Rounds and walks stay in the tasks; once each step joined all that was seen."""
+    _, t = _clustered(spark)
+    spark.sparkContext.setJobGroup("op2-steps", "")
+    neighbours.search(t, every=50, k=5, pool=40, open_=16).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("op2-steps"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 40
+
+
+def test_recall_over_many_parts(spark):
+    """Each part is searched for each query, and the best of all are the exact ones."""
+    v, t = _clustered(spark)
+    got = neighbours.search(t, every=50, k=5, most=300).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(80), np.arange(0, 4000, 50)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([j in set(got[got.query_id == 50 * i].vec_id) for i, row in enumerate(best) for j in row]) >= 0.97
+    assert all(abs(r.score - s[r.query_id // 50, r.vec_id]) < 1e-12 for r in got.itertuples())
