@@ -326,7 +326,7 @@ def _graph_rows(nodes: DataFrame, parts: int) -> DataFrame:
     return nodes.select(_part_of(parts), F.lit(0).alias("kind"), "node", F.col("ids")[0].alias("first"), "vec")
 
 
-def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.02, lists: int = 4, block: int = 128, reverse: int = 24, most: int = MOST) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 24, still: float = 0.1, lists: int = 12, block: int = 2048, reverse: int = 24, most: int = MOST) -> DataFrame:
     """(a, b, s): the neighbour graphs of the parts by NN-descent, in rounds
     until at most a share of `still` of the links is new; first lists from
     `lists` random-projection trees with leaves of at most `block` nodes. Every
@@ -389,7 +389,7 @@ def _search_part(k: int, pool: int, open_: int, graph: dict):
     return _by_part(start, ask)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 64, open_: int = 8, most: int = MOST, links: int = 24, still: float = 0.02, lists: int = 4, block: int = 128, reverse: int = 24) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, pool: int = 64, open_: int = 8, most: int = MOST, links: int = 24, still: float = 0.1, lists: int = 12, block: int = 2048, reverse: int = 24) -> DataFrame:
     """The k nearest rows of each query (vec_id divisible by `every`) by cosine:
     query_id, rank, vec_id, score.
 

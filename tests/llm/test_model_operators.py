@@ -260,3 +260,17 @@ def test_recall_over_many_parts(spark):
     best = np.argsort(-s, axis=1)[:, :5]
     assert np.mean([j in set(got[got.query_id == 50 * i].vec_id) for i, row in enumerate(best) for j in row]) >= 0.97
     assert all(abs(r.score - s[r.query_id // 50, r.vec_id]) < 1e-12 for r in got.itertuples())
+
+
+def test_graph_of_random_vectors(spark):
+    """64 dimensions without clusters, where few nodes of a small leaf are near."""
+    u = np.random.default_rng(6).normal(size=(12_000, 64))
+    t = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(u)], "vec_id long, embedding array<double>")
+    nodes = common.materialize(neighbours.nodes_of(t, 2), "test-nodes")
+    node = {r.ids[0]: r.node for r in nodes.select("node", "ids").collect()}
+    got = {(r.a, r.b) for r in neighbours.build_graph(nodes).collect()}
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u[::100] @ u.T
+    s[np.arange(120), np.arange(0, 12_000, 100)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([(node[100 * i], node[j]) in got for i, row in enumerate(best) for j in row.tolist()]) >= 0.95
