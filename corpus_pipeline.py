@@ -1,6 +1,6 @@
-"""The corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup,
-mixing to target weights, packing. Each stage is written as Parquet and read
-again by the next one."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup (of
+passages by words, then of strings by bytes), mixing to target weights, packing.
+Each stage is written as Parquet and read again by the next one."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.keep_one(docs, n=5, num=4, den=5)
 
 
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Text loses passages of over 50 words that start elsewhere too; most of them
+    are shorter than 400 bytes."""
+    return documents(suffix_dedup.remove_passages(docs))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text loses what 400-byte strings that start elsewhere too cover."""
     return documents(suffix_dedup.dedup(docs, length=400, with_text=True))
@@ -35,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("language_id", identify_language), ("jaccard_join", join_near_copies), ("suffix_dedup", remove_repeats), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("language_id", identify_language), ("jaccard_join", join_near_copies), ("passage_dedup", remove_passages), ("suffix_dedup", remove_repeats), ("mixing", mix_sources), ("packing", pack)]
 
 #: SQL has no suffix arrays, trained models or tokenizers; tests/llm compares
 #: the stages with brute force.

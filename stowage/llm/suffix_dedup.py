@@ -25,11 +25,15 @@ Only hashes of phrases are shuffled for all of the corpus, some 36 bytes a
 phrase. Bytes are compared only for phrases that share the bytes right of their
 trigger with another. Ranges of one beginning with over HOT phrases are counted
 by window hashes with map-side sums instead of being gathered in one task.
+
+remove_passages() goes the same way over words: each word is CODE bytes of a
+hash, so a passage of w words is a string of w * CODE bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +43,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, documents, materialize, mix64, partitions_for
+from .common import WORD_PATTERN, bytes_of, discard, documents, materialize, mix64, partitions_for
 
 GRAM = 16
 HOT = 20_000
 CHUNK = 8_000
 #: Shortest repeated string that is counted, in bytes.
 LEAST = 224
+#: Bytes that stand for a word, and the words of a passage: over 50.
+CODE = 8
+PASSAGE = 51
 _ROW = "k long, k2 int"
 
 
@@ -299,8 +306,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, least: in
     """(k, k2, start, stop, wide): byte ranges, possibly overlapping, that windows
     of `length` (wide) or `least` bytes cover which also start elsewhere. k and k2
     are from _keyed()."""
-    least = min(least, length)
-    raw = _keyed(docs).select("k", "k2", bytes_of().alias("raw")).filter(F.length("raw") >= least)
+    return _spans_in(_keyed(docs).select("k", "k2", bytes_of().alias("raw")), length, hot, min(least, length))
+
+
+def _spans_in(raw: DataFrame, length: int, hot: int, least: int) -> DataFrame:
+    """repeated_spans() of any strings: k, k2, raw."""
+    raw = raw.filter(F.length("raw") >= least)
     parse = raw.mapInArrow(_phrase_rows(length, least), f"mid long, phrase long, {_ROW}, place long")
     # 1. triggers with bytes to their right that occur once share no window with another
     # (written first: a join of two plain shuffles can split a hot key's rows)
@@ -318,7 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, least: in
     text = raw.mapInArrow(_squeeze, f"{_ROW}, z binary")
     text = text.join(asked, ["k", "k2"]).groupBy("k", "k2").agg(F.first("z").alias("z"), F.first("asked").alias("asked"))  # a repeated row is asked once
     contexts = materialize(text.mapInArrow(_contexts(least), f"hot boolean, {_ROW}, place long, once boolean, front binary, raw binary"), "op1-contexts")
-    cool = contexts.filter("not hot").repartitionByRange(partitions_for(docs.sparkSession), "front").sortWithinPartitions("front").mapInArrow(_compare(length, least), _SPANS)
+    cool = contexts.filter("not hot").repartitionByRange(partitions_for(raw.sparkSession), "front").sortWithinPartitions("front").mapInArrow(_compare(length, least), _SPANS)
     windows = contexts.filter("hot").mapInArrow(_window_hashes(length, least), f"h long, h2 long, {_ROW}, start long, wide boolean, once boolean")
     twice = windows.groupBy("h", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h", "h2")
     warm = windows.filter("once").join(twice, ["h", "h2"], "left_semi")
@@ -385,3 +396,65 @@ def dedup(docs: DataFrame, length: int = 400, hot: int = HOT, with_text: bool =
     spans = repeated_spans(docs, length, hot, least).groupBy("k", "k2").agg(F.collect_list(F.struct("start", "stop", "wide")).alias("spans"))
     packed = _keyed(docs).select("k", "k2", "doc_id", "lang", "source", bytes_of().alias("raw")).mapInArrow(_squeeze, f"{_ROW}, doc_id long, lang string, source string, z binary")
     return packed.join(spans, ["k", "k2"], "left").select("doc_id", "lang", "source", "z", "spans").mapInArrow(_apply(with_text), _OUT)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """raw from text to CODE bytes a word."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        coded = []
+        for raw in batch.column("raw"):
+            words = raw.as_py().split()
+            coded.append(np.fromiter(map(digest, words), np.uint64, len(words)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("k2"), pa.array(coded, pa.binary())], names=["k", "k2", "raw"])
+
+
+_CUT = "doc_id long, text string, lang string, source string, n_chars long, n_words long, n_removed long, n_spans long"
+
+
+def _cut_words(words: int):
+    """Spans are of code bytes; those of whole words count, if they are at least
+    `words` of them."""
+    pattern = re.compile(WORD_PATTERN.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts, numbers = [], []
+            for packed, found in zip(batch.column("z"), batch.column("spans")):
+                raw = d.decompress(packed.as_py())
+                whole = [(-(-x["start"] // CODE), x["stop"] // CODE) for x in found.as_py() or []]
+                spans = _merge([(a, b) for a, b in whole if b - a >= words])
+                starts = [m.start() for m in pattern.finditer(raw)] if spans else []
+                n = len(starts) if spans else len(raw.split())
+                kept, last = [], 0
+                for a, b in spans:
+                    kept.append(raw[last : starts[a]])
+                    last = starts[b] if b < n else len(raw)
+                text = b"".join([*kept, raw[last:]]).decode()
+                texts.append(text)
+                numbers.append((len(text), n, sum(b - a for a, b in spans), len(spans)))
+            columns = [pa.array(x, pa.int64()) for x in (list(zip(*numbers)) or [()] * 4)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), *columns], names=[x.split()[0] for x in _CUT.split(", ")])
+
+    return run
+
+
+def remove_passages(docs: DataFrame, words: int = PASSAGE, hot: int = HOT) -> DataFrame:
+    """Removes every word covered by a passage of `words` words that starts
+    anywhere else too, in the same document or another, however long its words
+    are and whatever stands between them; judged on the input, overlaps count,
+    matches never cross documents. The white space behind a removed word goes
+    with it.
+
+    One row per input row: the columns of documents with the remaining text and
+    its n_chars, then n_words of the input, n_removed words and n_spans. Words
+    are known by 64-bit hashes. Null texts count as empty and become empty; texts
+    of fewer words stay as they are; otherwise rows count as in dedup().
+    """
+    docs = documents(docs)
+    rows = _keyed(docs)
+    raw = rows.select("k", "k2", bytes_of().alias("raw")).filter(F.length("raw") >= 2 * words - 1).mapInArrow(_coded, f"{_ROW}, raw binary")
+    spans = _spans_in(raw, words * CODE, hot, words * CODE).groupBy("k", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    packed = rows.select("k", "k2", "doc_id", "lang", "source", bytes_of().alias("raw")).mapInArrow(_squeeze, f"{_ROW}, doc_id long, lang string, source string, z binary")
+    return packed.join(spans, ["k", "k2"], "left").select("doc_id", "lang", "source", "z", "spans").mapInArrow(_cut_words(words), _CUT)

@@ -42,6 +42,21 @@ def repeats(rows, least):
     return out
 
 
+def passages(rows, words):
+    """(id, remaining text, words, words removed) for passages of `words` words that start elsewhere too."""
+    split = [(d, re.findall(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", b := (t or "").encode()), b) for d, t in rows]
+    starts = Counter(tuple(x.split()[0] for x in w[i : i + words]) for _, w, _ in split for i in range(len(w) - words + 1))
+    out = []
+    for d, w, b in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if starts[tuple(x.split()[0] for x in w[i : i + words])] > 1:
+                gone[i : i + words] = [True] * words
+        front = b[: len(b) - len(b.lstrip())]
+        out.append((d, (front + b"".join(x for x, y in zip(w, gone) if not y)).decode(), len(w), sum(gone)))
+    return out
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

@@ -31,6 +31,26 @@ def test_suffix_dedup_periodic_and_random(spark):
         assert of(suffix_dedup.dedup(t, length, with_text=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup(rows, length), key=repr)
 
 
+@pytest.mark.parametrize(("words", "hot"), [(51, 20_000), (51, 1), (9, 20_000), (9, 1)])
+def test_passages(docs, rows, words, hot):
+    got = suffix_dedup.remove_passages(docs, words, hot)
+    assert of(got, "doc_id", "text", "n_words", "n_removed") == sorted(brute.passages([r[:2] for r in rows], words), key=repr)
+    assert all(r.n_chars == len(r.text) for r in got.collect())
+
+
+def test_passages_edges(spark, empty):
+    """At the beginning, in the middle, at the end, alone; other white space; one
+    word fewer; short and long words; repeated rows and null ids."""
+    p, q, s = (" ".join(f"{c}{i}" for i in range(51)) for c in ("a", "\u00e9" * 40, "b"))
+    rows = [(1, p + " end"), (2, "w  " + p.replace(" ", "\n\t") + "\n y"), (3, "x " + p), (4, p), (5, p.rsplit(" ", 1)[0] + " other"), (6, "one " + q), (7, q + " two"), (8, s), (8, s), (None, s + " three"), (9, "z " * 60), (10, " \u2028 "), (11, None), (12, " " + p)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = of(suffix_dedup.remove_passages(t), "doc_id", "text", "n_words", "n_removed")
+    assert got == sorted(brute.passages(rows, 51), key=repr)
+    left = {d: x for d, x, *_ in got}
+    assert (left[1], left[2], left[3], left[4], left[6], left[7], left[8], left[None]) == ("end", "w  y", "x ", "", "one ", "two", "", "three") and left[5] == rows[4][1]
+    assert suffix_dedup.remove_passages(empty).collect() == []
+
+
 @pytest.mark.parametrize(("least", "hot"), [(30, 20_000), (45, 1), (60, 20_000)])
 def test_repeats_shorter_than_what_is_removed(docs, rows, least, hot):
     """Strings of `least` bytes are counted, those of 60 removed."""

@@ -199,6 +199,23 @@ def test_pipeline(spark, sf):
     assert P.run(spark, sf).count() > 0
 
 
+def test_pipeline_removes_passages_of_over_50_words(spark):
+    """They repeat across documents and are shorter than 400 bytes; 50 words stay."""
+    import corpus_pipeline as P
+
+    own = lambda c: " ".join(f"{c}{i}" for i in range(200))
+    passage, shorter = (" ".join(f"{c}{i:03d}" for i in range(n)) for c, n in (("p", 51), ("q", 50)))
+    assert len(passage) < 400
+    rows = [(1, f"{own('a')} {passage} {own('b')}"), (2, f"{own('c')}\n{passage}\n{own('d')}"), (3, f"{own('e')} {shorter} {own('f')}"), (4, f"{own('g')} {shorter}")]
+    t = spark.createDataFrame([(d, x, "en", "s", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES:
+        t = stage(spark, t, "")
+        if name == "suffix_dedup":
+            break
+    got = {r.doc_id: r.text for r in t.collect()}
+    assert got == {1: f"{own('a')} {own('b')}", 2: f"{own('c')}\n{own('d')}", 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as P
 
